@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from muster.functions import scoring, text
 from muster.operators.ordering import BUCKET, ranked
+from muster.operators.sizing import sent_out, settled
 
 GRAM = 3  # a record stands under all runs of 1 to GRAM letters
 PAGE_SEARCH, PAGE_BROWSE, PAGE_ARCHIVE = 40, 100, 12
@@ -121,7 +122,8 @@ def score(
     asked = add_search_keys(queries.select("query_id", "query", *wanted), "query", "q_")
     asked = asked.select("*", *[F.col(q).alias(f"_f{i}") for i, q in enumerate(wanted)]).drop(*wanted)
     vocabulary = records.select(F.explode(scoring.tokens_of(F.col("soft"))).alias("word")).distinct()
-    pairs = record_keys(records, number).join(query_keys(asked, vocabulary), "_key")
+    # the query keys are few: computed once, so that the many record keys meet them without a shuffle
+    pairs = record_keys(records, number).join(sent_out(settled(query_keys(asked, vocabulary))), "_key")
     pairs = pairs.filter(optional_match([(r, f"_f{i}") for i, (r, _) in enumerate(facets)]))
     value = scoring.record_score(
         _name_keys(""),
@@ -129,18 +131,15 @@ def score(
         None if number is None else F.coalesce(F.col(number), F.lit("")),
         None if number is None else F.col("query"),
     )
-    return (
-        pairs.dropDuplicates([key, "query_id"])
-        .withColumn("score", value)
-        .filter(F.col("score") > 0)
-        .select("query_id", *records.columns, "score")
-    )
+    # scored before the pairs are made distinct: only real matches are shuffled
+    hits = pairs.withColumn("score", value).filter(F.col("score") > 0)
+    return hits.select("query_id", *records.columns, "score").dropDuplicates([key, "query_id"])
 
 
 def browse(records: DataFrame, queries: DataFrame, key: Sequence[tuple[str, str]]) -> DataFrame:
     """Queries without text list the records equal in all facet columns; each scores 1."""
     blank = queries.filter(F.trim(F.coalesce(F.col("query"), F.lit(""))) == "")
-    asked = blank.select("query_id", *[F.col(q).alias(f"_f{i}") for i, (_, q) in enumerate(key)])
+    asked = sent_out(blank.select("query_id", *[F.col(q).alias(f"_f{i}") for i, (_, q) in enumerate(key)]))
     match = F.lit(True)
     for i, (column, _) in enumerate(key):
         match = match & (F.col(column) == F.col(f"_f{i}"))
@@ -173,7 +172,7 @@ def search_roster(
     """
     facets = [(grade, "grade"), (section, "section")]
     usable = queries.filter(ready())
-    found = direct_gate(score(records, usable, key, number, facets)).unionByName(
+    found = direct_gate(settled(score(records, usable, key, number, facets))).unionByName(
         browse(records, usable, facets)
     )
     return ranked(
@@ -199,7 +198,7 @@ def owners_for_facets(slots: DataFrame, queries: DataFrame, owner: str = "owner"
     """
     facets = ["grade", "subject", "day_index", "period"]
     some = F.coalesce(*[F.col(f).cast("string") for f in facets]).isNotNull()
-    asked = queries.filter(some).select("query_id", *[F.col(f).alias(f"q_{f}") for f in facets])
+    asked = sent_out(queries.filter(some).select("query_id", *[F.col(f).alias(f"q_{f}") for f in facets]))
     options = slots.select(owner, *facets)
     for facet in facets:
         empty = F.lit(None).cast(options.schema[facet].dataType)
@@ -219,12 +218,11 @@ def search_owners(owners: DataFrame, slots: DataFrame, queries: DataFrame, owner
     some = F.coalesce(*[F.col(f).cast("string") for f in facets]).isNotNull()
     has_text = F.trim(F.coalesce(F.col("query"), F.lit(""))) != ""
     allowed = owners_for_facets(slots, queries, owner)
-    named = score(owners, queries.filter(has_text), owner)
-    free = queries.filter(~some).select("query_id")
-    with_facets = queries.filter(some).select("query_id")
-    by_text = named.join(free, "query_id", "left_semi").unionByName(
-        named.join(with_facets, "query_id", "left_semi").join(allowed, ["query_id", owner], "left_semi")
+    named = settled(score(owners, queries.filter(has_text), owner))
+    kept = named.join(sent_out(queries.select("query_id", some.alias("_bound"))), "query_id").join(
+        allowed.withColumn("_allowed", F.lit(True)), ["query_id", owner], "left"
     )
+    by_text = kept.filter(~F.col("_bound") | F.col("_allowed")).select(*named.columns)
     blank = queries.filter(~has_text)
     by_facets = owners.join(allowed.join(blank.select("query_id"), "query_id", "left_semi"), owner)
     ids = blank.filter(~some).agg(F.collect_set("query_id").alias("ids")).scalar()

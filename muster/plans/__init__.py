@@ -1,6 +1,6 @@
 """Registered queries. Importing this package registers all of them."""
 
-from muster.plans import q_text  # noqa: F401
+from muster.plans import q_search, q_text  # noqa: F401
 from muster.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
