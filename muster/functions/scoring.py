@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,11 +15,41 @@ FUZZY_MIN_LENGTH, LONG_TOKEN = 3, 7
 DIRECT_GATE = 700
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _past_common_start(pair: Column) -> Column:
+    """The two strings of a pair without the letters they both begin with."""
+    differs = F.zip_with(F.split(pair["a"], ""), F.split(pair["b"], ""), lambda x, y: ~x.eqNullSafe(y))
+    return bind(
+        F.array_position(differs, True).cast("int"),
+        lambda at: F.struct(
+            F.when(at == 0, "").otherwise(F.substring(pair["a"], at, F.length(pair["a"]))).alias("a"),
+            F.when(at == 0, "").otherwise(F.substring(pair["b"], at, F.length(pair["b"]))).alias("b"),
+        ),
+    )
+
+
 def osa_distance(a: Column, b: Column) -> Column:
     """Edit distance where swapping neighbours costs one and no substring is edited twice.
 
-    One fold over the letters of ``a``; the state keeps the last two rows of the table, and the
-    inner fold appends to the next row cell by cell.
+    Letters shared at either end do not count, so only the differing cores are compared. They come out
+    reversed, which changes no distance.
+    """
+
+    def reversed_cores(pair: Column) -> Column:
+        return F.struct(F.reverse(pair["a"]).alias("a"), F.reverse(pair["b"]).alias("b"))
+
+    started = bind(F.struct(a.alias("a"), b.alias("b")), _past_common_start)
+    cores = bind(bind(started, reversed_cores), _past_common_start)
+    return bind(cores, lambda pair: _fill(pair["a"], pair["b"]))
+
+
+def _fill(a: Column, b: Column) -> Column:
+    """One fold over the letters of ``a``; the state keeps the last two rows of the distance table, and
+    the inner fold appends to the next row cell by cell.
     """
     width = F.length(b)
     first = F.sequence(F.lit(0), width)
@@ -64,17 +96,21 @@ def fuzzy_distance(query_token: Column, name_token: Column) -> Column:
     pair out, and one of at most 1 is the answer; only the rest needs the table.
     """
     allowed = allowed_distance(query_token)
-    # the bounded form stops early and gives -1 beyond the bound
-    near = F.when(allowed == 2, F.levenshtein(query_token, name_token, 4)).otherwise(
-        F.levenshtein(query_token, name_token, 2)
-    )
-    exact = F.when(near <= 1, near).otherwise(osa_distance(query_token, name_token))
     comparable = (
         (F.length(query_token) >= FUZZY_MIN_LENGTH)
         & (F.substring(query_token, 1, 1) == F.substring(name_token, 1, 1))
         & (F.abs(F.length(query_token) - F.length(name_token)) <= allowed)
     )
-    return F.when(comparable, F.when(near >= 0, F.when(exact <= allowed, exact)))
+
+    def settle(near: Column) -> Column:
+        full = bind(osa_distance(query_token, name_token), lambda d: F.when(d <= allowed, d))
+        return F.when(near < 0, None).when(near <= 1, near).otherwise(full)
+
+    # the bounded form stops early and gives -1 beyond the bound
+    bounded = F.when(allowed == 2, F.levenshtein(query_token, name_token, 4)).otherwise(
+        F.levenshtein(query_token, name_token, 2)
+    )
+    return F.when(comparable, bind(bounded, settle))
 
 
 def token_score(query_token: Column, name_token: Column) -> Column:
@@ -109,13 +145,23 @@ def record_score(
     best = F.transform(
         q_tokens, lambda q: F.coalesce(F.array_max(F.transform(n_tokens, lambda n: token_score(q, n))), F.lit(0))
     )
-    total = F.aggregate(best, F.lit(0), lambda acc, s: acc + s)
     bonus = F.when(
         token_score(F.get(q_tokens, F.lit(0)), F.get(n_tokens, F.lit(0))) >= FIRST_TOKEN_FLOOR, FIRST_TOKEN_BONUS
     ).otherwise(0)
-    base = F.when(F.forall(best, lambda s: s >= TOKEN_CONTAINS), DIRECT_BASE).otherwise(FUZZY_BASE)
-    token_tier = F.when(F.exists(best, lambda s: s == 0), 0).otherwise(
-        F.round(base + total / F.size(best) + bonus).cast("int")
+
+    def finish(state: Column) -> Column:
+        base = F.when(state["least"] >= TOKEN_CONTAINS, DIRECT_BASE).otherwise(FUZZY_BASE)
+        return F.when(state["least"] == 0, 0).otherwise(
+            F.round(base + state["total"] / state["n"] + bonus).cast("int")
+        )
+
+    token_tier = F.aggregate(
+        best,
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("total"), F.lit(TOKEN_EQUAL).alias("least")),
+        lambda acc, s: F.struct(
+            (acc["n"] + 1).alias("n"), (acc["total"] + s).alias("total"), F.least(acc["least"], s).alias("least")
+        ),
+        finish,
     )
     ladder = F.when(q_primary == "", 1)
     if number is not None and typed is not None:

@@ -41,9 +41,14 @@ def _nfkc_batch(values: pd.Series) -> pd.Series:
     return values.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
 
 
+def needs_nfkc(text: Column) -> Column:
+    """True where NFKC might change the text."""
+    return ~text.rlike(_NFKC_INERT)
+
+
 def nfkc(text: Column) -> Column:
     """Unicode NFKC; null stays null."""
-    return F.coalesce(_nfkc_batch(F.when(~text.rlike(_NFKC_INERT), text)), text)
+    return F.coalesce(_nfkc_batch(F.when(needs_nfkc(text), text)), text)
 
 
 def collapse_spaces(text: Column) -> Column:

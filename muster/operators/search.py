@@ -25,8 +25,13 @@ PAGE_SEARCH, PAGE_BROWSE, PAGE_ARCHIVE = 40, 100, 12
 
 
 def add_search_keys(df: DataFrame, name: str, prefix: str = "") -> DataFrame:
-    """Add the primary, soft and compact key of a name; the name itself is not touched."""
-    canonical = df.withColumn("_nfkc", text.nfkc(F.col(name)))
+    """Add the primary, soft and compact key of a name; the name itself is not touched.
+
+    One scan of the name column, ended at the first hit, looks for text that NFKC might change. When
+    there is none, as in plain Latin or Arabic names, the keys are made without leaving the JVM.
+    """
+    changes = not df.select(name).filter(text.needs_nfkc(F.col(name))).isEmpty()
+    canonical = df.withColumn("_nfkc", text.nfkc(F.col(name)) if changes else F.col(name))
     keys = {
         f"{prefix}primary": text.normalize(F.col("_nfkc"), canonical=True),
         f"{prefix}soft": text.normalize(F.col("_nfkc"), soft=True, canonical=True),
@@ -120,7 +125,7 @@ def score(
     """
     wanted = [q for _, q in facets]
     asked = add_search_keys(queries.select("query_id", "query", *wanted), "query", "q_")
-    asked = asked.select("*", *[F.col(q).alias(f"_f{i}") for i, q in enumerate(wanted)]).drop(*wanted)
+    asked = settled(asked).select("*", *[F.col(q).alias(f"_f{i}") for i, q in enumerate(wanted)]).drop(*wanted)
     vocabulary = records.select(F.explode(scoring.tokens_of(F.col("soft"))).alias("word")).distinct()
     # the query keys are few: computed once, so that the many record keys meet them without a shuffle
     pairs = record_keys(records, number).join(sent_out(settled(query_keys(asked, vocabulary))), "_key")
