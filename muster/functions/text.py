@@ -67,9 +67,10 @@ def normalize(text: Column, soft: bool = False, compact: bool = False, canonical
     return F.replace(key, F.lit(" "), F.lit("")) if compact else key
 
 
-def join_key(text: Column) -> Column:
+def join_key(text: Column, canonical: bool = False) -> Column:
     """Key under which two sources spell the same subject or name."""
-    base = F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), MARKS_NARROW, "")
+    base = F.coalesce(text, F.lit(""))
+    base = F.regexp_replace(base if canonical else nfkc(base), MARKS_NARROW, "")
     folded = F.translate(
         base, ALEF_FORMS + MAQSURA + TA_MARBUTA + TATWEEL, ALEF * len(ALEF_FORMS) + YA + HA
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.operators.ordering import ranked
-from muster.operators.timetable import DAYS, PERIODS, every_slot, slots
+from muster.operators.timetable import DAYS, PERIODS, slots
 
 GRADES = (5, 6, 7, 8)  # fixed values: the grades of the school
 CHUNK = 500  # lessons per nested row
@@ -32,11 +32,11 @@ def zero_filled(spark: SparkSession, counts: DataFrame, key: str, values: Sequen
     return domain(spark, key, values).join(counts, key, "left").na.fill(0)
 
 
-def grade_rollup(spark: SparkSession, roster: DataFrame) -> DataFrame:
+def grade_rollup(spark: SparkSession, roster: DataFrame, grades: Sequence[int] = GRADES) -> DataFrame:
     """Per grade: people and number of sections."""
     by_class = group_counts(roster, "grade", "section")
     totals = by_class.groupBy("grade").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sections"))
-    return zero_filled(spark, totals, "grade", GRADES)
+    return zero_filled(spark, totals, "grade", grades)
 
 
 def entities_per_value(spark: SparkSession, blocks: DataFrame, entity: str, value: str, values: Sequence[int]) -> DataFrame:
@@ -169,7 +169,3 @@ def assemble_lines(words: DataFrame, key: Sequence[str], line: Column, x: str, t
 
 def bounds_of(df: DataFrame, date: str) -> DataFrame:
     return df.agg(F.min(date).alias("range_start"), F.max(date).alias("range_end"), F.count(F.lit(1)).alias("records"))
-
-
-def empty_grid(entities: DataFrame) -> DataFrame:
-    return every_slot(entities)

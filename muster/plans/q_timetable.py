@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from muster.functions import text
 from muster.operators import filters, summaries, timetable
-from muster.operators.sizing import sent_out
 from muster.plans.q_text import soft_sql
 from muster.plans.views import (
     ROW_ORDER,
@@ -17,11 +15,11 @@ from muster.plans.views import (
     owners,
     points,
     roster,
+    table,
     with_views,
 )
 from muster.registry import query
 
-PICK = f"arg_min({{}}, ({ROW_ORDER_SQL}))"
 FIRST_SQL = f"""first_lessons AS (SELECT owner, day_index, period, f.class_code, f.subject FROM (
   SELECT owner, day_index, period, arg_min({{'class_code': class_code, 'subject': subject}}, ROW({ROW_ORDER_SQL})) AS f
   FROM slots_a GROUP BY owner, day_index, period))"""
@@ -128,9 +126,9 @@ def j15(spark, folder):
 
 
 @query("j16_entities_without", "owner bigint", with_views("blocks_a") + """
-SELECT DISTINCT owner FROM blocks_a EXCEPT SELECT owner FROM blocks_a WHERE subject = 'RF' AND grade = 5 AND day_index = 0""")
+SELECT DISTINCT owner FROM blocks_a EXCEPT SELECT owner FROM blocks_a WHERE subject = 'RF' AND class_code = '5/3' AND day_index = 0""")
 def j16(spark, folder):
-    wanted = (F.col("subject") == "RF") & (F.col("grade") == 5) & (F.col("day_index") == 0)
+    wanted = (F.col("subject") == "RF") & (F.col("class_code") == "5/3") & (F.col("day_index") == 0)
     flagged = blocks_a(spark, folder).withColumn("subject", F.when(wanted, "wanted").otherwise("other"))
     return timetable.entities_without(flagged, "wanted", "owner")
 
@@ -143,10 +141,10 @@ def a1(spark, folder):
 
 @query("a2_grade_rollup", "grade bigint, total bigint, sections bigint", with_views("roster_v") + """
 SELECT g.g AS grade, count(id) AS total, count(DISTINCT section) AS sections
-FROM range(5, 9) AS g(g) LEFT JOIN (SELECT * FROM roster_v WHERE grade <> 8) r ON r.grade = g.g GROUP BY g.g""")
+FROM range(4, 9) AS g(g) LEFT JOIN roster_v r ON r.grade = g.g GROUP BY g.g""")
 def a2(spark, folder):
-    # without grade 8, so that the closed domain has a value to fill with zero
-    return summaries.grade_rollup(spark, roster(spark, folder).filter(F.col("grade") != 8))
+    # grade 4 is in the domain but not in the data
+    return summaries.grade_rollup(spark, roster(spark, folder), (4, *summaries.GRADES))
 
 
 @query("a3_owners_per_grade", "grade bigint, n bigint", with_views("blocks_a") + """
@@ -182,10 +180,11 @@ def a6(spark, folder):
 SELECT o.owner, count(b.owner) AS lesson_count, coalesce(sum(period_end - period_start + 1), 0) AS occupied_periods,
        coalesce(array_to_string(list_sort(list_distinct(list(b.grade) FILTER (b.grade IS NOT NULL))), ','), '') AS grades,
        coalesce(array_to_string(list_sort(list_distinct(list(b.subject) FILTER (b.subject IS NOT NULL))), ','), '') AS subjects
-FROM owners_v o LEFT JOIN (SELECT * FROM blocks_a WHERE owner % 10 <> 3) b ON b.owner = o.owner GROUP BY o.owner""")
+FROM (SELECT c_custkey AS owner FROM customer) o LEFT JOIN blocks_a b ON b.owner = o.owner GROUP BY o.owner""")
 def a7(spark, folder):
-    # one owner in ten has no lessons, so that empty weeks are kept
-    weekly = summaries.weekly_totals(owners(spark, folder), blocks_a(spark, folder).filter(F.col("owner") % 10 != 3))
+    # customers as the directory: most of them have no lessons and keep an empty week
+    people = table(spark, folder, "customer").select(F.col("c_custkey").alias("owner"))
+    weekly = summaries.weekly_totals(people, blocks_a(spark, folder))
     return weekly.withColumn("grades", F.array_join(F.col("grades").cast("array<string>"), ",")).withColumn(
         "subjects", F.array_join("subjects", ",")
     )
@@ -223,10 +222,10 @@ def a9(spark, folder):
 
 @query("a10_day_period_counts", "day_index bigint, " + ", ".join(f"p{p} bigint" for p in range(1, 9)), with_views("slots_a") + f"""
 SELECT d.d AS day_index, {", ".join(f"count(*) FILTER (period = {p}) AS p{p}" for p in range(1, 9))}
-FROM range(5) AS d(d) LEFT JOIN (SELECT * FROM slots_a WHERE day_index <> 4) s ON s.day_index = d.d GROUP BY d.d""")
+FROM range(6) AS d(d) LEFT JOIN slots_a s ON s.day_index = d.d GROUP BY d.d""")
 def a10(spark, folder):
-    # the last day is left out, so that a whole day is filled with zeros
-    return summaries.day_period_counts(blocks_a(spark, folder).filter(F.col("day_index") != 4))
+    # a sixth day, which has no lessons, is filled with zeros
+    return summaries.day_period_counts(blocks_a(spark, folder), days=6)
 
 
 @query("a11_day_totals", "owner bigint, day_index bigint, periods bigint", with_views("blocks_a") + """
@@ -235,11 +234,12 @@ def a11(spark, folder):
     return summaries.day_totals(blocks_a(spark, folder))
 
 
-@query("a12_empty_entities", "owner bigint, source_page bigint", with_views("owners_v", "blocks_a") + """
-SELECT owner, source_page FROM owners_v WHERE owner NOT IN (SELECT owner FROM blocks_a WHERE subject = 'AF' AND day_index = 1 AND grade = 8)""")
+@query("a12_empty_entities", "owner bigint", """
+SELECT c_custkey AS owner FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
 def a12(spark, folder):
-    some = blocks_a(spark, folder).filter((F.col("subject") == "AF") & (F.col("day_index") == 1) & (F.col("grade") == 8))
-    return summaries.without_blocks(owners(spark, folder), some).select("owner", "source_page")
+    people = table(spark, folder, "customer").select(F.col("c_custkey").alias("owner"))
+    urgent = table(spark, folder, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+    return summaries.without_blocks(people, urgent.select(F.col("o_custkey").alias("owner")))
 
 
 @query("a13_extraction_counts", "owners bigint, lesson_blocks bigint, occupied_periods bigint, double_blocks bigint",
