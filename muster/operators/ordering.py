@@ -75,13 +75,14 @@ def neighbour(
 
 
 def bounds(
-    points: DataFrame, marks: DataFrame, key: Sequence[str], at: str, width: float, lower: str, upper: str
+    points: DataFrame, marks: DataFrame, key: Sequence[str], at: str, width: float, lower: str, upper: str,
+    inclusive: bool = False,
 ) -> DataFrame:
     """Add to each point the greatest mark below and the least mark above it on the same key.
 
-    An as-of lookup both ways, strict on both sides. Marks are distinct numbers per key. Each (key,
-    bucket of ``width``) holds its marks as one array only when looked up: points meet the marks of
-    their own bucket by an equi-join, and a per-bucket table brings the nearest marks outside of it.
+    An as-of lookup both ways, strict on both sides unless ``inclusive`` lets a mark at the point count
+    as the one below. Positions meet the marks of their own bucket of ``width`` by an equi-join, and a
+    table with one row per bucket brings the nearest marks outside of it.
     """
     cell = F.floor(F.col(at) / width)
     marks = marks.select(*key, F.col(at).alias("_mark")).distinct().withColumn("_bucket", F.floor(F.col("_mark") / width))
@@ -98,11 +99,12 @@ def bounds(
     )
     # distinct positions first: many points share one, and only positions meet the marks
     positions = tagged.select(*key, "_bucket", at).distinct()
+    below = F.col("_mark") <= F.col(at) if inclusive else F.col("_mark") < F.col(at)
     inside = (
         positions.join(marks, [*key, "_bucket"])
         .groupBy(*key, "_bucket", at)
         .agg(
-            F.max(F.when(F.col("_mark") < F.col(at), F.col("_mark"))).alias("_lo"),
+            F.max(F.when(below, F.col("_mark"))).alias("_lo"),
             F.min(F.when(F.col("_mark") > F.col(at), F.col("_mark"))).alias("_hi"),
         )
     )

@@ -340,7 +340,11 @@ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id JOIN titles_v t ON t.
 # --- status and geometry --------------------------------------------------------------------------
 
 def statuses(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").select(
+    return status_columns(table(spark, folder, "events"))
+
+
+def status_columns(events: DataFrame) -> DataFrame:
+    return events.select(
         "user_id",
         "event_id",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
@@ -381,6 +385,105 @@ SELECT * FROM (SELECT page, y AS y0, lead(y) OVER (PARTITION BY page ORDER BY y)
 WHERE y1 IS NOT NULL""")
 
 
+# --- snapshots and the archive they feed -----------------------------------------------------------
+
+ACCOUNT = "lantern_school"
+SYNC_START = "2024-01-01"
+VERIFIED = "2024-03-01"
+
+
+def snapshots(pages: DataFrame) -> DataFrame:
+    """Snapshots from pages: the whole article as the text of a post, with a status link, often a time, and images.
+
+    Neighbouring pages share an image; posts without a time are dated by their id, which is before the
+    start of the archive. Each page holds its post twice.
+    """
+    key = F.col("page_id")
+    inner = F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1)
+    source = F.shiftleft(key + 1, 40).cast("string")
+    stamp = F.date_format(F.timestamp_millis(F.lit(1704067200000) + key * 3600000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    time = F.when(key % 7 != 0, F.concat(F.lit('<time datetime="'), stamp, F.lit('">now</time>'))).otherwise("")
+    image = F.concat(F.lit(f"<img src=\"https://{posts.MEDIA_HOST}/media/M"), F.floor(key / 2).cast("string"), F.lit('.jpg?name=small">'))
+    post = F.concat(
+        F.lit('<article><div data-testid="tweetText">'), inner, F.lit(f'</div><a href="/{ACCOUNT}/status/'), source,
+        F.lit('">'), time, F.lit("</a>"), image, F.lit("</article>"),
+    )
+    return pages.select(
+        key.alias("snapshot_id"), F.concat(F.lit("<html><body>"), post, post, F.lit("</body></html>")).alias("html")
+    )
+
+
+SQL_VIEWS["posts_v"] = ((), f"""
+SELECT page_id, CAST(((page_id + 1) << 40) AS VARCHAR) AS source_id,
+       trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g'),
+            '&quot;', '"'), '&amp;', '&'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text,
+       CASE WHEN page_id % 7 <> 0 THEN strftime(make_timestamp((1704067200000 + page_id * 3600000) * 1000), '%Y-%m-%dT%H:%M:%SZ') END AS stamp,
+       CAST(CASE WHEN page_id % 7 <> 0 THEN make_timestamp((1704067200000 + page_id * 3600000) * 1000)
+            ELSE make_timestamp(((page_id + 1) * 262144 + 1288834974657) * 1000) END + INTERVAL 4 HOUR AS DATE) AS date,
+       'https://{posts.MEDIA_HOST}/media/M' || (page_id // 2) || '.jpg?name=small' AS image
+FROM pages""")
+
+
+def stored_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """The archive before the run: of three pages one is linked, one has only the image, one is not there."""
+    from muster.operators.archive import ARCHIVE_SCHEMA
+
+    key = F.col("page_id")
+    media = F.array(
+        F.struct(
+            F.lit("image").alias("type"),
+            F.concat(F.lit(f"https://{posts.MEDIA_HOST}/media/M"), F.floor(key / 2).cast("string"), F.lit(".png")).alias("url"),
+            F.lit(None).cast("string").alias("localPath"),
+            F.lit("kept").alias("alt"),
+        )
+    )
+    rows = table(spark, folder, "pages").filter(key % 3 != 2).select(
+        F.concat(F.lit("r-"), key.cast("string")).alias("id"),
+        F.when(key % 3 == 0, F.shiftleft(key + 1, 40).cast("string")).alias("source_id"),
+        F.to_date(F.lit(SYNC_START)).alias("date"),
+        F.concat(F.lit("kept "), key.cast("string")).alias("title"),
+        F.lit("old text").alias("description"),
+        F.lit("visits").alias("category"),
+        F.array(F.lit("all")).alias("audiences"),
+        F.array().cast("array<string>").alias("people"),
+        F.array().cast("array<int>").alias("grades"),
+        F.lit(False).alias("specialist"),
+        F.when(key % 2 == 0, media).otherwise(F.array().cast(MEDIA_TYPE)).cast(MEDIA_TYPE).alias("media"),
+        F.lit("https://example.org/").alias("source_url"),
+        F.lit("old").alias("source_label"),
+        F.when(key % 4 == 0, F.to_date(F.lit("2024-02-02"))).alias("verified_at"),
+    )
+    return rows.to(spark.createDataFrame([], ARCHIVE_SCHEMA).schema)
+
+
+SQL_VIEWS["stored_v"] = ((), f"""
+SELECT page_id, 'r-' || page_id AS id, CASE WHEN page_id % 3 = 0 THEN CAST(((page_id + 1) << 40) AS VARCHAR) END AS source_id,
+       DATE '{SYNC_START}' AS date, 'kept ' || page_id AS title, 'old text' AS description,
+       CASE WHEN page_id % 2 = 0 THEN 'https://{posts.MEDIA_HOST}/media/M' || (page_id // 2) || '.png' END AS media_url,
+       CASE WHEN page_id % 4 = 0 THEN DATE '2024-02-02' END AS verified_at
+FROM pages WHERE page_id % 3 <> 2""")
+
+# Posts and the record each belongs to: by id, or the only unlinked record with the same image, earliest post first.
+SQL_VIEWS["matches_v"] = (("posts_v", "stored_v"), f"""
+SELECT p.source_id, s.id FROM posts_v p JOIN stored_v s ON s.source_id = p.source_id WHERE p.date >= DATE '{SYNC_START}'
+UNION ALL
+SELECT source_id, id FROM (
+  SELECT p.source_id, min(s.id) AS id, row_number() OVER (PARTITION BY min(s.id) ORDER BY p.page_id) AS turn
+  FROM posts_v p JOIN stored_v s ON s.source_id IS NULL AND s.media_url = replace(p.image, '.jpg?name=small', '.png')
+  WHERE p.date >= DATE '{SYNC_START}' AND p.source_id NOT IN (SELECT source_id FROM stored_v WHERE source_id IS NOT NULL)
+  GROUP BY p.source_id, p.page_id HAVING count(DISTINCT s.id) = 1) WHERE turn = 1""")
+SQL_VIEWS["merged_v"] = (("matches_v",), f"""
+SELECT s.id, coalesce(p.source_id, s.source_id) AS source_id, coalesce(p.date, s.date) AS date, s.title,
+       coalesce(p.text, s.description) AS description, coalesce(s.verified_at, CASE WHEN p.source_id IS NOT NULL THEN DATE '{VERIFIED}' END) AS verified_at,
+       CASE WHEN p.source_id IS NULL THEN coalesce(media_url, '') WHEN media_url IS NULL THEN p.image
+            WHEN media_url = replace(p.image, '.jpg?name=small', '.png') THEN media_url ELSE media_url || ' ' || p.image END AS media,
+       CASE WHEN p.source_id IS NULL THEN 'unchanged' ELSE 'enriched' END AS change
+FROM stored_v s LEFT JOIN matches_v m ON m.id = s.id LEFT JOIN posts_v p ON p.source_id = m.source_id
+UNION ALL
+SELECT 'x-' || source_id, source_id, date, NULL, text, DATE '{VERIFIED}', image, 'added'
+FROM posts_v WHERE date >= DATE '{SYNC_START}' AND source_id NOT IN (SELECT source_id FROM matches_v)""")
+
+
 # --- SQL assembly ---------------------------------------------------------------------------------
 
 def with_views(*names: str) -> str:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from muster.session import use_utc
+
 _SQL_TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE"}
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +36,7 @@ def query(key: str, columns: str, sql: str | None = None) -> Callable[[Run], Run
 
     def add(run: Run) -> Run:
         def typed(spark: SparkSession, folder: str) -> DataFrame:
+            use_utc(spark)
             return run(spark, folder).select(*[F.col(name).cast(kind).alias(name) for name, kind in spec])
 
         wrapped = None

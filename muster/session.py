@@ -26,16 +26,22 @@ def build_session(app: str = "muster", master: str | None = None, **conf: str) -
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir, set to a scratch folder only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder the cluster names in spark.checkpoint.dir; a scratch folder only where none is named."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="muster-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder
 
 
+def use_utc(spark: SparkSession) -> None:
+    """Instants are read and shown in UTC throughout the library."""
+    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path nobody has written to yet, below the shared work folder."""
     return f"{work_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
