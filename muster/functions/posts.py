@@ -105,9 +105,12 @@ def grade_mentions(text: Column) -> Column:
 
 
 def title(text: Column, default: str = TITLE_DEFAULT) -> Column:
-    bare = F.regexp_replace(text, LINKS_AND_TAGS, "")
-    edges = f"^[{TITLE_EDGES}]+|[{TITLE_EDGES}]+$"
-    sentence = F.get(F.split(F.regexp_replace(bare, edges, ""), TITLE_END, 2), F.lit(0))
+    # A title never goes past the first line break, links hold none, and the break also ends the
+    # trimming at the far end, so the first line decides it.
+    line = F.substring_index(text, "\n", 1)
+    bare = F.regexp_replace(F.regexp_replace(line, LINKS_AND_TAGS, ""), f"^[{TITLE_EDGES}]+", "")
+    bare = F.when(F.contains(text, F.lit("\n")), bare).otherwise(F.regexp_replace(bare, f"[{TITLE_EDGES}]+$", ""))
+    sentence = F.get(F.split(bare, TITLE_END, 2), F.lit(0))
     sentence = F.regexp_replace(sentence, r"(?U)^\s+|\s+$", "")
     cut = F.concat(F.regexp_replace(F.substring(sentence, 1, TITLE_CUT), r"(?s) [^ ]*$", ""), F.lit("…"))
     return (

@@ -128,20 +128,8 @@ def tokens_of(key: Column) -> Column:
     return F.filter(F.split(key, " "), lambda t: t != "")
 
 
-def record_score(
-    name: tuple[Column, Column, Column],
-    query: tuple[Column, Column, Column],
-    number: Column | None = None,
-    typed: Column | None = None,
-) -> Column:
-    """Score of a record under a query; both come as (primary, soft, compact) keys.
-
-    ``number`` is the record's external number and ``typed`` the query as typed. A ``CASE`` stops at
-    the first tier that holds, so the token tier is worked out only for rows that reach it.
-    """
-    primary, soft, compact = name
-    q_primary, q_soft, q_compact = query
-    q_tokens, n_tokens = tokens_of(q_soft), tokens_of(soft)
+def _token_tier(q_tokens: Column, n_tokens: Column) -> Column:
+    """Score when every query word matches some word of the name, else 0."""
     best = F.transform(
         q_tokens, lambda q: F.coalesce(F.array_max(F.transform(n_tokens, lambda n: token_score(q, n))), F.lit(0))
     )
@@ -155,7 +143,7 @@ def record_score(
             F.round(base + state["total"] / state["n"] + bonus).cast("int")
         )
 
-    token_tier = F.aggregate(
+    return F.aggregate(
         best,
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("total"), F.lit(TOKEN_EQUAL).alias("least")),
         lambda acc, s: F.struct(
@@ -163,6 +151,24 @@ def record_score(
         ),
         finish,
     )
+
+
+def record_score(
+    name: tuple[Column, Column, Column],
+    query: tuple[Column, Column, Column],
+    number: Column | None = None,
+    typed: Column | None = None,
+) -> Column:
+    """Score of a record under a query; both come as (primary, soft, compact) keys.
+
+    ``number`` is the record's external number and ``typed`` the query as typed. A ``CASE`` stops at
+    the first tier that holds, so the token tier is worked out only for rows that reach it.
+    """
+    primary, soft, compact = name
+    q_primary, q_soft, q_compact = query
+    # both word lists are bound once, so that the inner loops do not split the names again
+    words = F.struct(tokens_of(q_soft).alias("q"), tokens_of(soft).alias("n"))
+    token_tier = bind(words, lambda w: _token_tier(w["q"], w["n"]))
     ladder = F.when(q_primary == "", 1)
     if number is not None and typed is not None:
         ladder = ladder.when((number != "") & (number == F.trim(typed)), EXTERNAL)

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Character classes and fold tables that decide what counts as equal.
-MARKS = r"[\u064B-\u065F\u0670\u06D6-\u06ED]"
+MARK_LETTERS = "".join(map(chr, (*range(0x064B, 0x0660), 0x0670, *range(0x06D6, 0x06EE))))
 MARKS_NARROW = r"[\u064B-\u065F\u0670]"
 WHITESPACE = r"[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 TATWEEL = "ـ"
+FOLDABLE = r"[\u0600-\u06FF\t-\r\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+BLANKS = "\t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 ALEF_FORMS, ALEF = "أإآٱ", "ا"
 MAQSURA, YA = "ى", "ي"
 SOFT_FROM, SOFT_TO = "ةؤئ", "هوي"
@@ -51,19 +53,26 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(_nfkc_batch(F.when(needs_nfkc(text), text)), text)
 
 
+def _single_blanks(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, " {2,}", " "))
+
+
 def collapse_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, WHITESPACE + "+", " "))
+    """Runs of any whitespace as one blank, none at the ends."""
+    return _single_blanks(F.translate(text, BLANKS, " " * len(BLANKS)))
 
 
 def normalize(text: Column, soft: bool = False, compact: bool = False, canonical: bool = False) -> Column:
     """Search key of a text. ``canonical`` says that the text is in NFKC form already."""
     base = F.coalesce(text, F.lit(""))
     base = base if canonical else nfkc(base)
-    base = F.regexp_replace(base, MARKS, "")
     source, target = ALEF_FORMS + MAQSURA, ALEF * len(ALEF_FORMS) + YA
     if soft:
         source, target = source + SOFT_FROM, target + SOFT_TO
-    key = collapse_spaces(F.translate(base, source + TATWEEL, target))
+    # one pass folds letters and blanks and deletes the letters past the end of the target; text that
+    # has none of them is left alone
+    folded = F.translate(base, source + BLANKS + TATWEEL + MARK_LETTERS, target + " " * len(BLANKS))
+    key = _single_blanks(F.when(base.rlike(FOLDABLE), folded).otherwise(base))
     return F.replace(key, F.lit(" "), F.lit("")) if compact else key
 
 

@@ -415,8 +415,8 @@ def snapshots(pages: DataFrame) -> DataFrame:
 
 SQL_VIEWS["posts_v"] = ((), f"""
 SELECT page_id, CAST(((page_id + 1) << 40) AS VARCHAR) AS source_id,
-       trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g'),
-            '&quot;', '"'), '&amp;', '&'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text,
+       trim(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g'),
+            '&quot;', '"'), '&amp;?', '&', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) AS text,
        CASE WHEN page_id % 7 <> 0 THEN strftime(make_timestamp((1704067200000 + page_id * 3600000) * 1000), '%Y-%m-%dT%H:%M:%SZ') END AS stamp,
        CAST(CASE WHEN page_id % 7 <> 0 THEN make_timestamp((1704067200000 + page_id * 3600000) * 1000)
             ELSE make_timestamp(((page_id + 1) * 262144 + 1288834974657) * 1000) END + INTERVAL 4 HOUR AS DATE) AS date,
