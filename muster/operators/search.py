@@ -233,7 +233,8 @@ def search_owners(owners: DataFrame, slots: DataFrame, queries: DataFrame, owner
     ids = blank.filter(~some).agg(F.collect_set("query_id").alias("ids")).scalar()
     everyone = owners.withColumn("_ids", ids).withColumn("query_id", F.explode("_ids")).drop("_ids")
     listed = by_facets.select("query_id", *owners.columns).unionByName(everyone.select("query_id", *owners.columns))
-    found = direct_gate(by_text).unionByName(listed.withColumn("score", F.lit(1)))
+    # ranking reads its input twice, and this one rests on the lessons
+    found = settled(direct_gate(by_text).unionByName(listed.withColumn("score", F.lit(1))))
     return ranked(
         found,
         ["query_id"],

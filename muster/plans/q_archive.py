@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from muster.operators import archive as arch
-from muster.operators import layout, ordering, quality, reconcile, status, summaries
+from muster.operators import layout, ordering, quality, status, summaries
 from muster.plans.q_quality import ORDER_FIELDS
 from muster.plans.views import (
     ACCOUNT,
@@ -25,6 +25,7 @@ from muster.plans.views import (
     table,
     with_views,
 )
+from muster.operators.sizing import settled
 from muster.registry import query
 from muster.session import fresh_path
 from muster.sources import media, payload, sinks
@@ -368,6 +369,6 @@ SELECT event_id, p.page, y FROM points_v p JOIN (SELECT page, min(y0) AS top, ma
 WHERE y > top AND y < bottom AND event_id NOT IN (
   SELECT event_id FROM points_v p JOIN boxes b ON b.page = p.page AND y > y0 AND y < y1 AND x > x0 AND x < x1)""")
 def j14(spark, folder):
-    words, cells = points(spark, folder), boxes(spark, folder)
+    words, cells = points(spark, folder), settled(boxes(spark, folder))
     assigned = layout.assign_cells(words, cells, "page", HOUR)
     return layout.unallocated(words, assigned, cells, "page", "event_id")
