@@ -85,6 +85,22 @@ def _fill(a: Column, b: Column) -> Column:
     )
 
 
+def shortened(token: Column, twice: Column) -> Column:
+    """The token and all forms of it with one later letter left out, or up to two when ``twice`` holds.
+
+    Two tokens that begin alike and are within distance one share such a form, and within distance two
+    they share one with up to two letters left out, so near tokens meet by equality.
+    """
+
+    def without_one(t: Column) -> Column:
+        # from the second letter on; a single letter has no shorter form
+        places = F.when(F.length(t) >= 2, F.sequence(F.lit(2), F.length(t))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+
+    once = F.concat(F.array(token), without_one(token))
+    return F.array_distinct(F.when(twice, F.concat(once, F.flatten(F.transform(once, without_one)))).otherwise(once))
+
+
 def allowed_distance(query_token: Column) -> Column:
     return F.when(F.length(query_token) >= LONG_TOKEN, 2).otherwise(1)
 

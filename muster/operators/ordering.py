@@ -37,21 +37,22 @@ def ranked(
     counted with map-side combine, the running sum goes over buckets only, and rows are numbered inside
     their bucket. ``total`` adds the number of rows of the key.
     """
-    order = [f"_c{i}" for i in range(len(coarse))]
-    work = df
-    for label, expression in zip(order, coarse):
-        work = work.withColumn(label, expression)
-    bucket = [*key, *order]
-    counts = work.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    steps = [f"_c{i}" for i in range(len(coarse))]
+    # one struct per bucket: it is never null, its null fields are equal to each other, and the count,
+    # the window and the join all hash it, so rows are shuffled once
+    group = F.struct(*key) if key else F.struct(F.lit(0).alias("_all"))
+    bucket = F.struct(group.alias("k"), *[e.alias(c) for c, e in zip(steps, coarse)])
+    work = df.withColumn("_b", bucket)
+    counts = work.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    line = Window.partitionBy("_b.k").orderBy(*[f"_b.{c}" for c in steps])
+    before = F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.withColumn("_before", F.coalesce(before, F.lit(0)))
     if total is not None:
-        offsets = offsets.withColumn(total, F.sum("_n").over(Window.partitionBy(*key)))
-    inside = Window.partitionBy(*bucket).orderBy(*fine)
-    numbered = work.withColumn("_in", F.row_number().over(inside))
-    joined = numbered.alias("l").join(offsets.alias("r"), same_key(bucket, "l", "r"))
-    kept = [F.col(f"l.{c}") for c in df.columns] + [(F.col("_before") + F.col("_in")).alias(name)]
-    return joined.select(*kept, *([F.col(total)] if total is not None else []))
+        offsets = offsets.withColumn(total, F.sum("_n").over(Window.partitionBy("_b.k")))
+    numbered = work.withColumn("_in", F.row_number().over(Window.partitionBy("_b").orderBy(*fine)))
+    joined = numbered.join(offsets, "_b")
+    kept = [*df.columns, (F.col("_before") + F.col("_in")).alias(name)]
+    return joined.select(*kept, *([total] if total is not None else []))
 
 
 def neighbour(
@@ -62,16 +63,16 @@ def neighbour(
     ``bucket`` must not fall as the order goes up. A row at the edge of its bucket takes the edge value
     of the nearest bucket that has rows.
     """
-    work = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(*key, "_bucket").orderBy(*order)
+    work = df.withColumn("_b", F.struct(F.struct(*key).alias("k"), bucket.alias("at")))
+    inside = Window.partitionBy("_b").orderBy(*order)
     step = F.lead if forward else F.lag
     edge_of = F.min_by if forward else F.max_by
-    edges = work.groupBy(*key, "_bucket").agg(edge_of(F.struct(value), F.struct(*order)).alias("_edge"))
-    edges = edges.withColumn("_carry", step("_edge").over(Window.partitionBy(*key).orderBy("_bucket"))).drop("_edge")
+    edges = work.groupBy("_b").agg(edge_of(F.struct(value), F.struct(*order)).alias("_edge"))
+    carried = step("_edge").over(Window.partitionBy("_b.k").orderBy("_b.at"))
+    edges = edges.withColumn("_carry", carried).drop("_edge")
     near = work.withColumn("_near", step(F.struct(value)).over(inside))
-    joined = near.alias("l").join(edges.alias("r"), same_key([*key, "_bucket"], "l", "r"))
     found = F.coalesce(F.col("_near"), F.col("_carry"))[value]
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns], found.alias(name))
+    return near.join(edges, "_b").select(*df.columns, found.alias(name))
 
 
 def bounds(
@@ -81,39 +82,37 @@ def bounds(
     """Add to each point the greatest mark below and the least mark above it on the same key.
 
     An as-of lookup both ways, strict on both sides unless ``inclusive`` lets a mark at the point count
-    as the one below. Positions meet the marks of their own bucket of ``width`` by an equi-join, and a
-    table with one row per bucket brings the nearest marks outside of it.
+    as the one below. Positions and marks are made distinct together, one pass in order inside each
+    (key, bucket of ``width``) finds the neighbours there, and a table with one row per bucket brings
+    the nearest marks outside of it.
     """
-    cell = F.floor(F.col(at) / width)
-    marks = marks.select(*key, F.col(at).alias("_mark")).distinct().withColumn("_bucket", F.floor(F.col("_mark") / width))
-    edges = marks.groupBy(*key, "_bucket").agg(F.min("_mark").alias("_min"), F.max("_mark").alias("_max"))
-    tagged = points.withColumn("_bucket", cell)
-    visited = tagged.select(*key, "_bucket").distinct()
-    grid = visited.join(edges, [*key, "_bucket"], "full_outer")
-    line = Window.partitionBy(*key).orderBy("_bucket")
-    carry = grid.select(
-        *key,
-        "_bucket",
-        F.max("_max").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"),
-        F.min("_min").over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_above"),
+    bucket = F.struct(F.struct(*key).alias("k"), F.floor(F.col(at) / width).alias("at")).alias("_b")
+    none = F.lit(None).cast(marks.schema[at].dataType)
+    both = points.select(bucket, F.col(at).alias("_at"), none.alias("_mark"), F.lit(True).alias("_asked")).unionByName(
+        marks.select(bucket, F.col(at).alias("_at"), F.col(at).alias("_mark"), F.lit(False).alias("_asked"))
     )
-    # distinct positions first: many points share one, and only positions meet the marks
-    positions = tagged.select(*key, "_bucket", at).distinct()
-    below = F.col("_mark") <= F.col(at) if inclusive else F.col("_mark") < F.col(at)
-    inside = (
-        positions.join(marks, [*key, "_bucket"])
-        .groupBy(*key, "_bucket", at)
-        .agg(
-            F.max(F.when(below, F.col("_mark"))).alias("_lo"),
-            F.min(F.when(F.col("_mark") > F.col(at), F.col("_mark"))).alias("_hi"),
-        )
-    )
-    return (
-        tagged.join(inside, [*key, "_bucket", at], "left")
-        .join(carry, [*key, "_bucket"], "left")
+    places = both.groupBy("_b", "_at").agg(F.max("_mark").alias("_mark"), F.max("_asked").alias("_asked"))
+    row = Window.partitionBy("_b").orderBy("_at")
+    last_below = Window.currentRow if inclusive else -1
+    near = places.select(
+        "_b",
+        "_at",
+        "_asked",
+        F.max("_mark").over(row.rowsBetween(Window.unboundedPreceding, last_below)).alias("_lo"),
+        F.min("_mark").over(row.rowsBetween(1, Window.unboundedFollowing)).alias("_hi"),
+    ).filter("_asked")
+    line = Window.partitionBy("_b.k").orderBy("_b.at")
+    carry = (
+        places.groupBy("_b")
+        .agg(F.min("_mark").alias("_min"), F.max("_mark").alias("_max"))
         .select(
-            *points.columns,
-            F.coalesce("_lo", "_below").alias(lower),
-            F.coalesce("_hi", "_above").alias(upper),
+            "_b",
+            F.max("_max").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"),
+            F.min("_min").over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_above"),
         )
     )
+    found = near.join(carry, "_b").select(
+        "_b", "_at", F.coalesce("_lo", "_below").alias(lower), F.coalesce("_hi", "_above").alias(upper)
+    )
+    tagged = points.withColumn("_b", bucket).withColumn("_at", F.col(at))
+    return tagged.join(found, ["_b", "_at"]).select(*points.columns, lower, upper)

@@ -92,18 +92,17 @@ def query_keys(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     anchored = queries.filter(F.col("q_primary") != "").withColumn("_anchor", _longest(F.col("q_soft")))
     runs = anchored.withColumn("_key", F.concat(F.lit("g:"), F.substring("_anchor", 1, GRAM)))
     numbers = anchored.withColumn("_key", F.concat(F.lit("n:"), F.trim("query")))
-    # near spellings: same first letter and a length within the allowance, then the distance itself
-    allowed = scoring.allowed_distance(F.col("_anchor"))
-    anchors = (
-        anchored.filter(F.length("_anchor") >= scoring.FUZZY_MIN_LENGTH)
-        .select("_anchor")
-        .distinct()
-        .withColumn("_size", F.explode(F.sequence(F.length("_anchor") - allowed, F.length("_anchor") + allowed)))
-        .withColumn("_first", F.substring("_anchor", 1, 1))
+    # near spellings meet on a form with letters left out, then the distance itself decides
+    long_enough = anchored.filter(F.length("_anchor") >= scoring.FUZZY_MIN_LENGTH).select("_anchor").distinct()
+    forms = long_enough.withColumn(
+        "_form", F.explode(scoring.shortened(F.col("_anchor"), F.length("_anchor") >= scoring.LONG_TOKEN))
     )
-    words = vocabulary.select("word", F.length("word").alias("_size"), F.substring("word", 1, 1).alias("_first"))
+    reachable = F.length("word") >= scoring.LONG_TOKEN - 2  # shorter words are never two edits from a long one
+    words = vocabulary.select("word", F.explode(scoring.shortened(F.col("word"), reachable)).alias("_form"))
     spelled = (
-        anchors.join(words, ["_first", "_size"])
+        words.join(sent_out(forms), "_form")
+        .select("_anchor", "word")
+        .distinct()
         .filter(scoring.fuzzy_distance(F.col("_anchor"), F.col("word")).isNotNull())
         .select("_anchor", F.concat(F.lit("t:"), "word").alias("_key"))
     )
