@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # The score ladder.
 EXTERNAL, EXACT, PREFIX, CONTAINS, SOFT_CONTAINS, COMPACT_CONTAINS = 1100, 1000, 940, 860, 780, 740
 TOKEN_EQUAL, TOKEN_PREFIX, TOKEN_CONTAINS, TOKEN_FUZZY, FUZZY_STEP = 100, 92, 82, 62, 8
-DIRECT_BASE, FUZZY_BASE, FIRST_TOKEN_BONUS, FIRST_TOKEN_FLOOR = 700, 540, 25, 90
+DIRECT_BASE, FUZZY_BASE, FIRST_TOKEN_BONUS = 700, 540, 25
 FUZZY_MIN_LENGTH, LONG_TOKEN = 3, 7
 DIRECT_GATE = 700
 
@@ -149,9 +149,9 @@ def _token_tier(q_tokens: Column, n_tokens: Column) -> Column:
     best = F.transform(
         q_tokens, lambda q: F.coalesce(F.array_max(F.transform(n_tokens, lambda n: token_score(q, n))), F.lit(0))
     )
-    bonus = F.when(
-        token_score(F.get(q_tokens, F.lit(0)), F.get(n_tokens, F.lit(0))) >= FIRST_TOKEN_FLOOR, FIRST_TOKEN_BONUS
-    ).otherwise(0)
+    # only an equal first word, or one that begins like it, scores high enough for the bonus
+    begins = F.startswith(F.get(n_tokens, F.lit(0)), F.get(q_tokens, F.lit(0)))
+    bonus = F.when(begins, FIRST_TOKEN_BONUS).otherwise(0)
 
     def finish(state: Column) -> Column:
         base = F.when(state["least"] >= TOKEN_CONTAINS, DIRECT_BASE).otherwise(FUZZY_BASE)
@@ -185,6 +185,13 @@ def record_score(
     # both word lists are bound once, so that the inner loops do not split the names again
     words = F.struct(tokens_of(q_soft).alias("q"), tokens_of(soft).alias("n"))
     token_tier = bind(words, lambda w: _token_tier(w["q"], w["n"]))
+    # a query word can only match when the name holds it, or has a word that begins like it
+    spaced = F.concat(F.lit(" "), soft)
+    hopeful = F.forall(
+        tokens_of(q_soft),
+        lambda q: F.contains(soft, q)
+        | ((F.length(q) >= FUZZY_MIN_LENGTH) & F.contains(spaced, F.concat(F.lit(" "), F.substring(q, 1, 1)))),
+    )
     ladder = F.when(q_primary == "", 1)
     if number is not None and typed is not None:
         ladder = ladder.when((number != "") & (number == F.trim(typed)), EXTERNAL)
@@ -194,5 +201,6 @@ def record_score(
         .when(F.contains(primary, q_primary), CONTAINS)
         .when(F.contains(soft, q_soft), SOFT_CONTAINS)
         .when(F.contains(compact, q_compact), COMPACT_CONTAINS)
+        .when(~hopeful, 0)
         .otherwise(token_tier)
     )

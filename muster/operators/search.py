@@ -101,6 +101,7 @@ def query_keys(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     words = vocabulary.select("word", F.explode(scoring.shortened(F.col("word"), reachable)).alias("_form"))
     spelled = (
         words.join(sent_out(forms), "_form")
+        .filter(~F.contains("word", F.substring("_anchor", 1, GRAM)))  # those meet on the letter run already
         .select("_anchor", "word")
         .distinct()
         .filter(scoring.fuzzy_distance(F.col("_anchor"), F.col("word")).isNotNull())
