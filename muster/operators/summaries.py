@@ -157,14 +157,22 @@ def many_labels(df: DataFrame, owner: str, label: str) -> DataFrame:
     )
 
 
-def assemble_lines(words: DataFrame, key: Sequence[str], line: Column, x: str, text: str, tie: str) -> DataFrame:
+def assemble_lines(
+    words: DataFrame, key: Sequence[str], line: Column, x: str, text: str, tie: str, width: float, size: int = CHUNK
+) -> DataFrame:
     """Text of each line of a cell, words from right to left; lines are numbered by their height.
 
-    A cell's text is its lines in order. Lines are kept apart, so that no task holds a whole cell.
+    A cell's text is its lines in order. Lines are kept apart and very long ones come in pieces of
+    ``size`` words, so that no task puts an unbounded number of words together.
     """
     placed = words.withColumn("line", line)
-    parts = F.array_sort(F.collect_list(F.struct((-F.col(x)).alias("x"), F.col(tie), F.col(text).alias("t"))))
-    return placed.groupBy(*key, "line").agg(F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("text"))
+    numbered = ranked(placed, [*key, "line"], [F.floor(-F.col(x) / width)], [-F.col(x), F.col(tie)], name="_at")
+    parts = F.array_sort(F.collect_list(F.struct("_at", F.col(text).alias("t"))))
+    return (
+        numbered.withColumn("piece", F.floor((F.col("_at") - 1) / size))
+        .groupBy(*key, "line", "piece")
+        .agg(F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("text"))
+    )
 
 
 def bounds_of(df: DataFrame, date: str) -> DataFrame:

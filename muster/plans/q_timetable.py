@@ -263,12 +263,13 @@ def a15(spark, folder):
     return summaries.many_labels(blocks_b(spark, folder), "l_partkey", "subject")
 
 
-@query("a16_text_assembly", "page string, line bigint, text string", with_views("points_v") + """
-SELECT page, CAST(round(y / 120.0) AS BIGINT) AS line, string_agg(text, ' ' ORDER BY x DESC, event_id) AS text
-FROM points_v GROUP BY ALL""")
+@query("a16_text_assembly", "page string, line bigint, piece bigint, text string", with_views("points_v") + """
+SELECT page, line, (rank - 1) // 500 AS piece, string_agg(text, ' ' ORDER BY rank) AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY page, line ORDER BY x DESC, event_id) AS rank
+      FROM (SELECT *, CAST(round(y / 120.0) AS BIGINT) AS line FROM points_v)) GROUP BY ALL""")
 def a16(spark, folder):
     line = F.round(F.col("y") / 120.0).cast("bigint")
-    return summaries.assemble_lines(points(spark, folder), ["page"], line, "x", "text", "event_id")
+    return summaries.assemble_lines(points(spark, folder), ["page"], line, "x", "text", "event_id", width=100.0)
 
 
 @query("o5_lesson_order", "owner bigint, rank bigint, day_index bigint, period_start bigint, period_end bigint, class_code string, subject string",

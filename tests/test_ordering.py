@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from muster.operators import layout, ordering, reconcile
+from muster.operators import layout, ordering, reconcile, summaries
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +70,12 @@ def test_digest_sees_content_not_order(rows):
     changed = rows.withColumn("state", F.when(F.col("i") == 77, "z").otherwise(F.col("state")))
     assert reconcile.dataset_digest(changed, fields).head().digest != whole.digest
     assert reconcile.dataset_digest(rows.union(rows.limit(1)), fields).head().digest != whole.digest
+
+
+def test_long_lines_come_in_pieces(spark):
+    words = [("p", 0, (i * 37) % 101, i, f"w{i}") for i in range(101)] + [("q", 0, 1, 500, "solo")]
+    df = spark.createDataFrame(words, "page string, y long, x long, i long, t string")
+    pieces = summaries.assemble_lines(df, ["page"], F.col("y"), "x", "t", "i", width=10.0, size=20).orderBy("page", "piece").collect()
+    assert [p.piece for p in pieces] == [0, 1, 2, 3, 4, 5, 0]
+    text = " ".join(p.text for p in pieces if p.page == "p").split()
+    assert text == [w[4] for w in sorted(words[:-1], key=lambda w: -w[2])]

@@ -88,3 +88,18 @@ def test_slot_hits_equal_occupied_periods(spark):
     )
     occupied = blocks.agg(F.sum(F.col("period_end") - F.col("period_start") + 1)).head()[0]
     assert slots(blocks).count() == occupied
+
+
+def test_results_do_not_depend_on_broadcasts(spark, found, monkeypatch):
+    """Beyond the size bound nothing is sent out; most records share one name here."""
+    records, asked, _ = found
+    monkeypatch.setattr(search, "sent_out", lambda df: df)
+    same = [(r[0], "قنديل طاولة" if r[0] % 3 else r[1], *r[2:]) for r in records]
+    df = search.add_search_keys(
+        spark.createDataFrame(same, "id long, name string, number string, grade long, section long, roster_order long"), "name"
+    )
+    queries = spark.createDataFrame(asked, "query_id long, query string, grade long, section long")
+    rows = search.search_roster(df, queries).collect()
+    for query_id, query, grade, section in asked:
+        mine = [(r.id, r.score) for r in sorted((r for r in rows if r.query_id == query_id), key=lambda r: r["rank"])]
+        assert mine == naive.search(same, query, grade, section), query
