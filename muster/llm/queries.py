@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bpe_count, langid, mixing
+from muster.llm import bpe_count, langid, mixing, quality
 from muster.llm.tables import documents
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,15 @@ def query(key: str, sql: str | None = None) -> Callable[[Run], Run]:
     return add
 
 
+@query("op4_quality_rules", quality.SQL)
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of every document under thresholds of its language and source."""
+    told = quality.verdicts(documents(spark, folder).select("doc_id", "text", "lang", "source"))
+    return told.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 @query("op7_mix_sources")
 def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Words taken of every document when the sources are mixed to their target weights."""
