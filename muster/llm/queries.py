@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bpe_count, langid, mixing, quality
+from muster.llm import bpe_count, langid, mixing, packing, quality
 from muster.llm.tables import documents
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,12 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op6_pack_lengths")
+def op6_pack_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """Bucket, batch and slot of every piece of every document."""
+    return packing.pack(documents(spark, folder))
+
+
 @query("op7_mix_sources")
 def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Words taken of every document when the sources are mixed to their target weights."""
