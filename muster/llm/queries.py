@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bpe_count, langid, mixing, packing, quality
+from muster.llm import bpe_count, langid, mixing, packing, quality, substring
 from muster.llm.tables import documents
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,13 @@ def query(key: str, sql: str | None = None) -> Callable[[Run], Run]:
     return add
 
 
+@query("op1_substring_dedup")
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that windows of smaller documents cover, and a digest of the kept words."""
+    cut = substring.dedup(documents(spark, folder))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
+
+
 @query("op4_quality_rules", quality.SQL)
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of every document under thresholds of its language and source."""
