@@ -31,8 +31,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, rows) with about ``most`` bytes of text each; one row alone may be longer. Null is empty."""
+def slices(texts: pa.Array, most: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, part) with about ``most`` bytes of text and up to ``rows`` rows each; one row alone may be
+    longer. Null is empty."""
     if len(texts) == 0:
         return
     texts = pc.fill_null(texts, "")
@@ -40,6 +41,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.A
     start, done = 0, 0
     while start < len(texts):
         stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
+        stop = min(stop, start + rows)
         yield start, texts.slice(start, stop - start)
         start, done = stop, int(ends[stop - 1])
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bpe_count, langid, mixing, packing, quality, substring
+from muster.llm import bpe_count, jaccard, langid, mixing, packing, quality, substring
 from muster.llm.tables import documents
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,12 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
 
 
+@query("op2_ngram_jaccard")
+def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Set size and component of every document under links of 85 hundredths or more over four-word shingles."""
+    return jaccard.join_components(documents(spark, folder), n=4, num=85, den=100)
+
+
 @query("op4_quality_rules", quality.SQL)
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of every document under thresholds of its language and source."""
