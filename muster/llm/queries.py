@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bpe_count, jaccard, langid, mixing, packing, quality, substring
-from muster.llm.tables import documents
+from muster.llm import bm25, bpe_count, jaccard, langid, mixing, packing, quality, substring
+from muster.llm.tables import documents, kept
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,17 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op5_bm25_topk", bm25.SQL)
+def op5_bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every twentieth document, asked by its telling terms, against all documents."""
+    docs = documents(spark, folder)
+    index = bm25.build_index(docs)
+    n, average = bm25.statistics(index)
+    asked = kept(bm25.term_queries(docs.where("doc_id % 20 = 0"), index, n), "queries")
+    found = bm25.search(index, asked, average)
+    return found.select(F.col("query").alias("query_id"), F.col("doc").alias("doc_id"), F.col("rank").cast("bigint").alias("rank"), "score")
+
+
 @query("op6_pack_lengths")
 def op6_pack_lengths(spark: SparkSession, folder: str) -> DataFrame:
     """Bucket, batch and slot of every piece of every document."""
