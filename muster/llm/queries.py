@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bm25, bpe_count, jaccard, langid, mixing, packing, quality, substring
+from muster.llm import bm25, bpe_count, chat, jaccard, langid, mixing, packing, quality, substring
 from muster.llm.tables import documents, kept
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,17 @@ def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join_components(documents(spark, folder), n=4, num=85, den=100)
 
 
+@query("op3_preferences", chat.SQL)
+def op3_preferences(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompt and masked completions of every conversation against the same one with another's ending."""
+    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    told = chat.format_preferences(chat.with_other_endings(turns))
+    return told.select(
+        "pair_id", "n_prompt_turns", "prompt", "chosen", "rejected",
+        chat.mask_text(F.col("chosen_mask")).alias("chosen_mask"), chat.mask_text(F.col("rejected_mask")).alias("rejected_mask"), "usable",
+    )
+
+
 @query("op4_quality_rules", quality.SQL)
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of every document under thresholds of its language and source."""
