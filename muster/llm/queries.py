@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bm25, bpe_count, chat, jaccard, langid, mixing, packing, quality, substring
+from muster.llm import bm25, bpe_count, chat, jaccard, langid, mixing, packing, quality, substring, warc
 from muster.llm.tables import documents, kept
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,12 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > CONTEXT)
 
 
+@query("op9_derived_records")
+def op9_derived_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata and conversion record of every page, linked to its response record."""
+    return warc.derive(warc.responses(spark.read.parquet(f"{folder}/pages.parquet")), key="page_id")
+
+
 @query("op10_language_id")
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The predicted language of every document; a third of them is held out from learning."""

@@ -29,7 +29,7 @@ id and the text are read, so further columns cannot clash.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -318,33 +318,37 @@ def _kept(text: str | None, spans: list[int], width: int) -> tuple[int, int, str
 def _cut(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(2).to_pylist()
+            spans, more = batch.column(2).to_pylist(), batch.columns[3:]
             for row, part in flat.slices(batch.column(1), 8 * flat.SLICE_BYTES):
                 texts = batch.column(1).slice(row, len(part)).to_pylist()
                 rows = [_kept(text, own or [], width) for text, own in zip(texts, spans[row : row + len(part)])]
                 n, removed, kept, whole = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, len(part)), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
-                     pa.array(kept, pa.string()), pa.array(whole, pa.string())],
-                    names=["id", "n_words", "n_removed", "kept_words", "kept_text"],
+                     pa.array(kept, pa.string()), pa.array(whole, pa.string()), *[c.slice(row, len(part)) for c in more]],
+                    names=["id", "n_words", "n_removed", "kept_words", "kept_text", *batch.schema.names[3:]],
                 )
 
     return cut
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(id, n_words, n_removed, kept_words, kept_text) of every document.
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, n_words, n_removed, kept_words, kept_text) of every document, and the columns named in ``carry``.
 
     ``kept_words`` has the kept words joined by one blank; ``kept_text`` is the text itself with the removed words
-    cut out, so a text of which nothing is removed is unchanged.
+    cut out, so a text of which nothing is removed is unchanged. Carried columns may have any names.
     """
-    slim = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    slim = docs.select(
+        F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"), *[F.col(f"`{c}`").alias(f"_carry{i}") for i, c in enumerate(carry)]
+    )
+    more = [f"_carry{i}" for i in range(len(carry))]
     named = slim.where("id IS NOT NULL")
-    spans = repeated_spans(named, width)
-    cut = named.join(spans.hint("shuffle_hash"), named["id"] == spans["doc"], "left").select("id", "text", "spans")
-    alone = slim.where("id IS NULL").select("id", "text", F.lit(None).cast("array<bigint>").alias("spans"))
-    schema = "id bigint, n_words bigint, n_removed bigint, kept_words string, kept_text string"
-    return (
-        cut.mapInArrow(_cut(width), schema).unionByName(alone.mapInArrow(_cut(width), schema))
-        .withColumnRenamed("id", doc_id)
+    spans = repeated_spans(named.select("id", "text"), width)
+    cut = named.join(spans.hint("shuffle_hash"), named["id"] == spans["doc"], "left").select("id", "text", "spans", *more)
+    alone = slim.where("id IS NULL").select("id", "text", F.lit(None).cast("array<bigint>").alias("spans"), *more)
+    schema = ", ".join(
+        ["id bigint, n_words bigint, n_removed bigint, kept_words string, kept_text string"]
+        + [f"{name} {docs.schema[c].dataType.simpleString()}" for name, c in zip(more, carry)]
     )
+    done = cut.mapInArrow(_cut(width), schema).unionByName(alone.mapInArrow(_cut(width), schema))
+    return done.select(F.col("id").alias(doc_id), "n_words", "n_removed", "kept_words", "kept_text", *[F.col(m).alias(c) for m, c in zip(more, carry)])
