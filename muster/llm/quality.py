@@ -99,10 +99,10 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 def _measures() -> dict[str, Column]:
     """The measures of a document that has words, in hundredths of a character or in thousandths."""
     return {
-        "word_length": F.expr("100 * word_chars div n_words"),
-        "symbols": F.expr("1000 * n_symbols div n_words"),
-        "dup_lines": F.expr("1000 * n_dup_lines div n_lines"),
-        "repeated": F.expr("1000 * n_repeat_words div n_words"),
+        "word_length": F.expr("100 * word_chars div nullif(n_words, 0)"),
+        "symbols": F.expr("1000 * n_symbols div nullif(n_words, 0)"),
+        "dup_lines": F.expr("1000 * n_dup_lines div nullif(n_lines, 0)"),
+        "repeated": F.expr("1000 * n_repeat_words div nullif(n_words, 0)"),
     }
 
 
