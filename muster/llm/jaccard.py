@@ -9,14 +9,17 @@ second-level parts agree: each pair of these is one signature, named by the elem
 share one. Sets look at a few parts more than are needed, so that one shared signature holds elements; only
 sets with so many empty signatures that this does not follow give out the empty ones too.
 
-1. ``signatures`` makes the sets of a batch of texts and their signatures; of the documents of a batch with a
+1. ``signatures`` makes the sets of some texts and their signatures; of the documents of a part of a batch with a
    signature the least asks for it, the others name it as their partner. One shuffle by signature finds each
-   asker's least partner, so a group of n documents gives n - 1 pairs.
-2. Pairs that sizes and a histogram of 64 counters do not rule out are verified over the whole sets, one row
-   per pair, and components are built of the links found.
-3. A signature whose documents are then in several components may still hide a link between two that both are
-   unlike the least one. These documents meet by signature, across components only, under the same filters and
-   the same verification; what they link is joined to the components. So no link is lost.
+   asker's least partner.
+2. Each document is compared with the one partner it shares most signatures with, so a group of n documents
+   gives n - 1 pairs. Pairs that sizes and a parity sketch of the elements do not rule out are verified over
+   the whole sets, one row per pair, and components are built of the links found.
+3. A signature may still hold documents of different components. While such groups are crowded, those outside
+   of a group's main component are compared with its most linked member, which joins families of near copies.
+4. Documents that share a signature but are in different components after that meet by signature, across
+   components only, under the same filters and the same verification; what they link is joined to the
+   components. So no link is lost, and within a component no more pairs are made.
 
 Defined results: a null or empty text, or one without words, has no elements and links with nothing. A text with fewer
 words than n has its whole sequence of words as one element. A null id links with nothing; its
@@ -41,7 +44,13 @@ from muster.operators.sizing import sent_out
 
 SHINGLE, NUM, DEN = 5, 4, 5
 PARTS = 3
-COUNTERS = 64
+#: 64-bit numbers of a sketch.
+SKETCH = 8
+#: Hubs are tried while groups make over so many pairs per row.
+CROWDED = 8
+WORTH = 25
+#: Documents of a batch meet in parts of about so many bytes of text.
+PART_BYTES = 8 << 20
 #: Rows of a slice; they fit the bits of an element that hold its text.
 _ROW_BITS = 12
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -157,34 +166,35 @@ def _set_names(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mixed(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
 
 
-def _histograms(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Counters of the elements of each set, up to 255 each."""
-    rows = len(offsets) - 1
-    at = np.repeat(np.arange(rows) * COUNTERS, np.diff(offsets)) + (elements % np.uint64(COUNTERS)).astype(np.int64)
-    return np.minimum(np.bincount(at, minlength=rows * COUNTERS), 255).astype(np.uint8).reshape(rows, COUNTERS)
+def _sketches(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """One bit per bucket of elements: whether an odd number of them is in it.
+
+    Where two sketches differ, an odd number of elements is in one of the sets only, so the number of bits that
+    differ is never above the number of such elements.
+    """
+    rows, bits = len(offsets) - 1, 64 * SKETCH
+    at = np.repeat(np.arange(rows) * bits, np.diff(offsets)) + (mixed(elements) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=rows * bits) & 1).astype(np.uint8).reshape(rows, bits)
+    return np.packbits(odd, axis=1).view(np.int64)
 
 
-_ROWS = "asked bigint, signature bigint, doc bigint, lead bigint, kind int, size bigint, counters binary"
+_BITS = [f"s{i}" for i in range(SKETCH)]
+_ROWS = "asked bigint, signature bigint, doc bigint, lead bigint, kind int, size bigint, " + ", ".join(f"{b} bigint" for b in _BITS)
 #: Kinds of rows: a document itself, one that asks for a signature, one that has a partner in its batch.
 _SELF, _ASKS, _LED = 0, 1, 2
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    ends = np.arange(len(rows) + 1, dtype=np.int32) * COUNTERS
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
-
-
 def _signed(n: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(row, len(part)) for b in batches for row, part in flat.slices(b.column(1), PART_BYTES)):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            sizes, counters, sets, docs, names = [], [], [], [], []
+            sizes, sketches, sets, docs, names = [], [], [], [], []
             leads: dict[int, int] = {}
             order = np.argsort(ids, kind="stable")
             for row, part in flat.slices(batch.column(1), rows=1 << _ROW_BITS):
                 elements, offsets = shingle_sets(part, n)
                 sizes.append(np.diff(offsets))
-                counters.append(_histograms(elements, offsets))
+                sketches.append(_sketches(elements, offsets))
                 own = _set_names(elements, offsets)
                 sets.append(own)
                 text, name = signatures(elements, offsets, num, den)
@@ -218,12 +228,12 @@ def _signed(n: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]],
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate((mixed(ids.astype(np.uint64) + _STEP), asked)).view(np.int64)),
-                    pa.array(np.concatenate((np.zeros(len(ids), np.uint64), name)).view(np.int64)),
+                    pa.array(np.concatenate((np.zeros(len(ids), np.uint64), name)).view(np.int64), mask=np.concatenate((np.zeros(len(ids), bool), new))),
                     pa.array(np.concatenate((ids, doc))),
                     pa.array(np.concatenate((lead, least)), mask=np.concatenate((~linked, new & ~led))),
                     pa.array(np.concatenate((np.full(len(ids), _SELF), np.where(new, _ASKS, _LED))), pa.int32()),
                     pa.array(np.concatenate((size, np.zeros(len(doc), np.int64))), mask=np.arange(several) >= len(ids)),
-                    pa.concat_arrays([_binary(np.concatenate(counters)), pa.nulls(len(doc), pa.binary())]),
+                    *[pa.concat_arrays([pa.array(column), pa.nulls(len(doc), pa.int64())]) for column in np.concatenate(sketches).T],
                 ],
                 names=[c.split()[0] for c in _ROWS.split(", ")],
             )
@@ -231,16 +241,6 @@ def _signed(n: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]],
     return make
 
 
-def _near(num: int, den: int) -> Callable[..., Column]:
-    @F.arrow_udf("boolean")
-    def near(size_a: pa.Array, size_b: pa.Array, counters_a: pa.Array, counters_b: pa.Array) -> pa.Array:
-        a, b = size_a.to_numpy(zero_copy_only=False), size_b.to_numpy(zero_copy_only=False)
-        rows = [np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(-1, COUNTERS).astype(np.int16) for c in (counters_a, counters_b)]
-        return pa.array(np.abs(rows[0] - rows[1]).sum(axis=1) <= most_different(a, b, num, den))
-
-    return near
-
-
 def _set_bytes(n: int) -> Callable[[Column], Column]:
     @F.arrow_udf("binary")
     def set_bytes(texts: pa.Array) -> pa.Array:
@@ -269,21 +269,24 @@ def _similar(num: int, den: int) -> Callable[..., Column]:
 
 
 def _could_be(num: int, den: int) -> Column:
-    """Sizes of a pair that do not rule it out."""
-    return (F.col("size_a") * num <= F.col("size_b") * den) & (F.col("size_b") * num <= F.col("size_a") * den)
+    """Sizes and sketches of a pair that do not rule it out."""
+    a, b = F.col("size_a"), F.col("size_b")
+    apart = sum((F.bit_count(F.col(f"{bits}_a").bitwiseXOR(F.col(f"{bits}_b"))) for bits in _BITS), F.lit(0))
+    return (a * num <= b * den) & (b * num <= a * den) & (apart * (den + num) <= (a + b) * (den - num))
+
+
+def _named(df: DataFrame, side: str, *names: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{c}_{side}") for c in names])
 
 
 def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that are similar, by their whole sets.
 
-    Sizes and counters rule most others out. The texts of the rest are read once; each document's set goes to
+    Sizes and sketches rule most others out. The texts of the rest are read once; each document's set goes to
     its pairs, where both meet by pair.
     """
-    of = lambda x: info.select(F.col("doc").alias(x), F.col("size").alias(f"size_{x}"), F.col("counters").alias(f"counters_{x}"))
-    likely = (
-        pairs.join(of("a"), "a").join(of("b"), "b").where(_could_be(num, den))
-        .where(_near(num, den)("size_a", "size_b", "counters_a", "counters_b")).select("a", "b")
-    )
+    left, right = (_named(info, x, "doc", "size", *_BITS) for x in "ab")
+    likely = pairs.join(left, F.col("a") == F.col("doc_a")).join(right, (F.col("b") == F.col("doc_b")) & _could_be(num, den)).select("a", "b")
     likely = kept(likely, "pairs")
     ends = F.explode(F.array(F.struct(F.col("a").alias("doc"), F.lit(True).alias("first")), F.struct(F.col("b").alias("doc"), F.lit(False).alias("first"))))
     asked = likely.select("a", "b", ends.alias("_e")).groupBy("_e.doc").agg(F.collect_list(F.struct("a", "b", "_e.first")).alias("pairs"))
@@ -294,6 +297,41 @@ def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame, n: int, num: i
     return met.where("x IS NOT NULL AND y IS NOT NULL").where(_similar(num, den)("x", "y")).select("a", "b")
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _open_groups(members: DataFrame, info: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (signature, doc) of the signatures with several components, with doc's size and root, the number of members,
+    and the component that most members are in (base) with its most linked member (hub)."""
+    ends = links.select(F.col("a").alias("end")).unionAll(links.select("b")).groupBy("end").agg(F.count(F.lit(1)).alias("degree"))
+    nodes = (
+        info.join(roots, info["doc"] == roots["v"], "left").join(ends, info["doc"] == ends["end"], "left")
+        .select(F.col("doc").alias("of"), "size", F.coalesce("root", "doc").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    )
+    members = members.select("signature", "doc")
+    at = members.join(nodes, members["doc"] == nodes["of"]).select("signature", "doc", "size", "root", "degree")
+    groups = (
+        at.groupBy("signature", "root").agg(F.count(F.lit(1)).alias("n"), F.max_by("doc", F.struct("degree", "doc")).alias("hub"))
+        .groupBy("signature").agg(
+            F.max_by(F.struct("root", "hub"), F.struct("n", "root")).alias("base"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("members")
+        )
+        .where("roots > 1").select(F.col("signature").alias("of_group"), "base.hub", F.col("base.root").alias("base"), "members")
+    )
+    return at.join(groups, at["signature"] == groups["of_group"]).select("signature", "doc", "size", "root", "base", "hub", "members")
+
+
+def _across(open_: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of a signature in different components that nothing rules out; those of the base meet the others only."""
+    told = open_.select("signature", "doc", "root", "base").join(info, "doc")
+    left, right = (_named(told, x, "signature", "doc", "root", "base", "size", *_BITS) for x in "ab")
+    met = (F.col("signature_a") == F.col("signature_b")) & (F.col("root_a") != F.col("root_b")) & _could_be(num, den)
+    return (
+        left.where("root_a != base_a").join(right, met)
+        .select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
+    )
+
+
 def join_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE, num: int = NUM, den: int = DEN
 ) -> DataFrame:
@@ -307,29 +345,37 @@ def join_components(
         .where((F.col("kind") != _ASKS) | (F.col("_times") > 1) | F.col("lead").isNotNull())
     )
     lead = F.when(F.col("kind") == _ASKS, F.col("_least")).otherwise(F.col("lead"))
-    table = kept(rows.select("kind", "signature", "doc", lead.alias("lead"), "size", "counters"), "signatures")
-    info = table.where(F.col("kind") == _SELF).groupBy("doc").agg(F.max_by(F.struct("size", "counters"), "size").alias("_i")).select("doc", "_i.*")
+    table = kept(rows.select("kind", F.coalesce("signature", "asked").alias("signature"), "doc", lead.alias("lead"), "size", *_BITS), "signatures")
+    info = table.where(F.col("kind") == _SELF).groupBy("doc").agg(F.max_by(F.struct("size", *_BITS), "size").alias("_i")).select("doc", "_i.*")
     info = kept(info, "sets")
     copies = table.where((F.col("kind") == _SELF) & F.col("lead").isNotNull()).select(F.col("lead").alias("a"), F.col("doc").alias("b"))
     members = table.where(F.col("kind") != _SELF).select("signature", "doc", "lead")
-    tried = kept(members.where("doc != lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "tried")
+    met = members.where("doc != lead").groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("n"))
+    tried = met.groupBy(F.col("doc").alias("b")).agg(F.max_by("lead", F.struct(F.col("n"), -F.col("lead"))).alias("a"))
+    tried = kept(tried.select("a", "b"), "tried")
     links = kept(_verified(named, info, tried, n, num, den).union(copies), "links")
     roots = components(links)
 
-    # documents of one signature in several components that are not linked through the least one
-    at = members.join(roots, members["doc"] == roots["v"], "left").select("signature", "doc", F.coalesce("root", "doc").alias("root"))
-    open_ = at.groupBy("signature").agg((F.min("root") != F.max("root")).alias("split"), F.count(F.lit(1)).alias("n")).where("split AND n > 2")
-    sized = at.join(open_.select("signature"), "signature").join(info, "doc")
-    left, right = (sized.select("signature", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "root", "size", "counters")]) for x in "ab")
-    across = (
-        left.join(right, "signature").where((F.col("doc_a") < F.col("doc_b")) & (F.col("root_a") != F.col("root_b")) & _could_be(num, den))
-        .where(_near(num, den)("size_a", "size_b", "counters_a", "counters_b"))
-        .select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
-    )
-    more = kept(across.join(tried, ["a", "b"], "left_anti"), "across")
-    if not more.isEmpty():
-        links = kept(_verified(named, info, more, n, num, den).union(links), "links")
+    open_, tested = members.select("signature", "doc"), tried
+    while True:
+        open_ = kept(_open_groups(open_, info, roots, links), "open")
+        rows, pairs = open_.agg(F.count(F.lit(1)), F.sum(F.when(F.col("root") != F.col("base"), F.col("members")))).first()
+        if not rows:
+            break
+        # documents outside of a group's main component are compared with its hub, as long as that links many of them
+        # and the groups still make far more pairs than they have rows
+        hubs = open_.where("root != base").groupBy(F.col("doc").alias("b"), F.col("hub").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+        hubs = hubs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+        new = kept(hubs.join(tested, ["a", "b"], "left_anti"), "hubs") if pairs > CROWDED * rows else None
+        found = kept(_verified(named, info, new, n, num, den), "found") if new is not None else None
+        last = found is None or found.count() * WORTH < new.count()
+        if last:
+            new = kept(_across(open_, info, num, den).join(_both_ways(tested), ["a", "b"], "left_anti"), "across")
+            found = kept(_verified(named, info, new, n, num, den), "found")
+        links, tested = kept(links.union(found), "links"), tested.union(new)
         roots = components(links)
+        if last:
+            break
     told = (
         info.join(roots, info["doc"] == roots["v"], "left")
         .select(F.col("doc").alias(doc_id), F.col("size").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))
