@@ -15,9 +15,10 @@ so long that it has none, the window's own hash stands in. Equal windows thus na
    shuffle that finds the least document of each (``repeated_spans``),
 3. the words covered by windows that a smaller document holds are taken out (``cut``).
 
-Texts are shuffled by id once, and Spark reuses that exchange in steps 2 and 3. Before each shuffle a batch
-of documents settles among its own documents what it can: of many documents with a symbol or window one asks,
-and the others are answered at once, so a passage that a third of all documents share makes one row per batch.
+Whole texts are symbols too: a document equal to a smaller one is repeated as a whole and asks for no window.
+Texts are shuffled by id once, compressed, and Spark reuses that exchange in steps 2 and 3. Before each shuffle a part
+of a batch settles among its own documents what it can: of many documents with a symbol or window one asks,
+and the others are answered at once, so a passage that a third of all documents share makes one row per part.
 What windows are compared grows with what is repeated, not with the corpus.
 
 Defined results: a null or empty text has no words, nothing is removed and its kept words are the empty string. A text
@@ -34,7 +35,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from muster.llm import flat
@@ -43,7 +45,9 @@ from muster.llm.flat import mixed
 WIDTH = 13
 #: Rounds of naming: runs, then pairs twice.
 ROUNDS = ("runs", "pairs", "pairs")
-GROUP = 2
+GROUP = 3
+#: Documents of a batch settle among themselves in parts of about so many bytes of text.
+PART_BYTES = 8 << 20
 
 _STEP_A, _STEP_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -118,6 +122,13 @@ def _high_level(s: Symbols, width: int) -> Symbols:
     return Symbols(group[fit], stopped[fit], starts[fit], ends[fit])
 
 
+def _whole_hash(words: flat.Words, step: np.uint64) -> np.ndarray:
+    """A hash of all words of each text in order."""
+    at = np.arange(len(words.names), dtype=np.uint64) - np.repeat(words.offsets[:-1], np.diff(words.offsets)).astype(np.uint64)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(words.names + mixed(at + step)), dtype=np.uint64)))
+    return mixed(total[words.offsets[1:]] - total[words.offsets[:-1]] + step)
+
+
 def _window_hash(names: np.ndarray, starts: np.ndarray, width: int, step: np.uint64) -> np.ndarray:
     total = np.zeros(len(starts), dtype=np.uint64)
     own = mixed(names ^ step)
@@ -172,6 +183,12 @@ def _windows(words: flat.Words, width: int) -> tuple[Symbols, Windows]:
     return first, Windows(place, text, place - text - 1 - words.offsets[text], symbol)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, part in flat.slices(batch.column(1), PART_BYTES):
+            yield batch.slice(row, len(part))
+
+
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -184,14 +201,22 @@ def _runs(values: np.ndarray) -> np.ndarray:
 
 
 def _asked_symbols(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(asked, symbol, doc, known): the least document of a batch with a symbol asks for it; if the batch has more
-    documents with it, all of them know that it is shared."""
+    """(asked, symbol, doc, known): the least document of a part of a batch with a symbol asks for it; if the part has
+    more documents with it, all of them know that it is shared.
+
+    A whole text of a window or more is a symbol too, whose second hash stands for the symbol; ``known`` is null.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, symbols, docs = _ids(batch), [], []
+        for batch in _parts(batches):
+            ids, symbols, docs, wholes, seconds, owners = _ids(batch), [], [], [], [], []
             for row, part in flat.slices(batch.column(1)):
-                _, windows = _windows(flat.words(part), width)
+                words = flat.words(part)
+                _, windows = _windows(words, width)
+                long = np.flatnonzero(np.diff(words.offsets) >= width)
+                wholes.append(_whole_hash(words, _STEP_A)[long])
+                seconds.append(_whole_hash(words, _STEP_B)[long])
+                owners.append(ids[row + long])
                 new = _runs(windows.symbol) | _runs(windows.text)
                 symbols.append(windows.symbol[new])
                 docs.append(ids[row + windows.text[new]])
@@ -206,8 +231,13 @@ def _asked_symbols(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             alone = new.copy()
             alone[:-1] &= new[1:]  # the only document of its symbol
             asked = np.where(new, symbol, mixed(symbol + doc.astype(np.uint64) * _STEP_A))
+            owner = np.concatenate(owners)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(asked.view(np.int64)), pa.array(symbol.view(np.int64)), pa.array(doc), pa.array(~alone)],
+                [
+                    pa.array(np.concatenate((asked, *wholes)).view(np.int64)), pa.array(np.concatenate((symbol, *seconds)).view(np.int64)),
+                    pa.array(np.concatenate((doc, owner))),
+                    pa.array(np.append(~alone, np.zeros(len(owner), bool)), mask=np.arange(len(doc) + len(owner)) >= len(doc)),
+                ],
                 names=["asked", "symbol", "doc", "known"],
             )
 
@@ -215,11 +245,16 @@ def _asked_symbols(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def shared_symbols(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, symbols): the symbols of each document that another document also has."""
+    """(doc, symbols, copy): the symbols of each document that another document also has, and whether the whole text
+    is that of a smaller document; of such a copy no symbols are needed."""
     asked = docs.mapInArrow(_asked_symbols(width), "asked bigint, symbol bigint, doc bigint, known boolean")
-    group = Window.partitionBy("asked")
-    shared = asked.withColumn("_other", F.min("doc").over(group) != F.max("doc").over(group)).where("known OR _other")
-    return shared.groupBy("doc").agg(F.collect_list("symbol").alias("symbols"))
+    group = Window.partitionBy("asked", "symbol")
+    least = asked.withColumn("_least", F.min("doc").over(group)).withColumn("_most", F.max("doc").over(group))
+    copy = F.col("known").isNull() & (F.col("doc") > F.col("_least"))
+    shared = least.where(F.col("known") | (F.col("known").isNotNull() & (F.col("_least") != F.col("_most"))) | copy)
+    return shared.groupBy("doc").agg(
+        F.collect_list(F.when(F.col("known").isNotNull(), F.col("symbol"))).alias("symbols"), F.max(F.col("known").isNull()).alias("copy")
+    )
 
 
 def _span_rows(doc: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
@@ -238,15 +273,20 @@ def _asked_windows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, found = _ids(batch), []
+        for batch in _parts(_unpacked(batches)):
+            ids, found, copies = _ids(batch), [], []
+            copy = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
             for row, part in flat.slices(batch.column(1)):
                 own = batch.column(2).slice(row, len(part))
                 sizes = np.diff(np.asarray(own.offsets))
                 keys = own.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                first, windows = _windows(flat.words(part), width)
+                words = flat.words(part)
+                first, windows = _windows(words, width)
+                starts = np.diff(words.offsets)[copy[row : row + len(part)]] - width + 1
+                copies.append((ids[row : row + len(part)][copy[row : row + len(part)]], starts))
                 marked = mixed(keys + np.repeat(np.arange(len(part)), sizes).astype(np.uint64) * _STEP_A)
                 hit = np.isin(mixed(windows.symbol + windows.text.astype(np.uint64) * _STEP_A), marked)
+                hit &= ~copy[row + windows.text]
                 place = windows.place[hit]
                 found.append((
                     _window_hash(first.names, place, width, _STEP_A),
@@ -264,6 +304,9 @@ def _asked_windows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             asks = doc == least
             order = np.lexsort((start[~asks], doc[~asks]))
             known, begin, times = _span_rows(doc[~asks][order], start[~asks][order])
+            whole, all_starts = (np.concatenate(x) for x in zip(*copies))
+            known, begin = np.concatenate((known, whole)), np.concatenate((begin, np.zeros(len(whole), np.int64)))
+            times = np.concatenate((times, all_starts))
             rest = np.concatenate((more[asks].astype(np.int64) << 32 | start[asks], times << 32 | begin))
             key = np.concatenate((window[asks], mixed(known.astype(np.uint64) * _STEP_A + begin.astype(np.uint64))))
             yield pa.RecordBatch.from_arrays(
@@ -278,10 +321,12 @@ def _asked_windows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc, spans): the starts of the windows that a document with a smaller id also has.
 
-    ``docs`` has (id, text). A span is a 64-bit number, the number of starts in a row above the first of them.
+    ``docs`` has (id, text) and ``row``, a struct with the same text packed. A span is a 64-bit number, the number of starts in a row
+    above the first of them.
     """
-    shared = shared_symbols(docs, width)
-    joined = docs.join(shared.hint("shuffle_hash"), docs["id"] == shared["doc"]).select("id", "text", "symbols")
+    shared = shared_symbols(docs.select("id", "text"), width)
+    texts = docs.select("id", "row")
+    joined = texts.join(shared.hint("shuffle_hash"), texts["id"] == shared["doc"]).select("id", "row", "symbols", "copy")
     asked = joined.mapInArrow(_asked_windows(width), "window bigint, rest bigint, doc bigint, known boolean")
     group = Window.partitionBy("window", F.when(F.col("known"), F.lit(-1)).otherwise(F.shiftrightunsigned("rest", 32)))
     later = asked.withColumn("_least", F.min("doc").over(group)).where("known OR doc > _least")
@@ -290,6 +335,35 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return later.select("doc", span.alias("span")).groupBy("doc").agg(F.collect_list("span").alias("spans"))
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches whose second column is a struct of a packed text and carried fields: the text takes its place, the
+    fields come last. Parts of bounded size."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        texts, size, start = [], 0, 0
+        packed, *carried = batch.column(1).flatten()
+        for i, data in enumerate(packed):
+            texts.append(unpack.decompress(data.as_py()) if data.is_valid else None)
+            size += len(texts[-1] or b"")
+            if size >= PART_BYTES or i == batch.num_rows - 1:
+                rest = [*batch.columns[2:], *carried]
+                names = ["id", "text", *batch.schema.names[2:], *[f"_carry{k}" for k in range(len(carried))]]
+                columns = [batch.column(0).slice(start, len(texts)), pa.array(texts, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *[c.slice(start, len(texts)) for c in rest]], names=names)
+                texts, size, start = [], 0, i + 1
+
+
+def _packed(text: Column) -> Column:
+    """Texts compressed for their shuffle; null stays null."""
+
+    @F.arrow_udf("binary")
+    def pack(texts: pa.Array) -> pa.Array:
+        press = zstandard.ZstdCompressor(level=3)
+        return pa.array([press.compress(t.as_buffer()) if t.is_valid else None for t in texts.cast(pa.binary())], pa.binary())
+
+    return pack(text)
+
+
 def _kept(text: str | None, spans: list[int], width: int) -> tuple[int, int, str, str | None]:
     """Words, words removed, the kept words joined by blanks, and the text without the removed words."""
     data = (text or "").encode("utf-8")
@@ -317,7 +391,7 @@ def _kept(text: str | None, spans: list[int], width: int) -> tuple[int, int, str
 
 def _cut(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _unpacked(batches):
             spans, more = batch.column(2).to_pylist(), batch.columns[3:]
             for row, part in flat.slices(batch.column(1), 8 * flat.SLICE_BYTES):
                 texts = batch.column(1).slice(row, len(part)).to_pylist()
@@ -342,10 +416,13 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
         F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"), *[F.col(f"`{c}`").alias(f"_carry{i}") for i, c in enumerate(carry)]
     )
     more = [f"_carry{i}" for i in range(len(carry))]
+    # what is carried travels in one column with the text, so that the shuffle of both steps is the same
+    slim = slim.select("id", "text", F.struct(_packed(F.col("text")).alias("packed"), *more).alias("row"))
     named = slim.where("id IS NOT NULL")
-    spans = repeated_spans(named.select("id", "text"), width)
-    cut = named.join(spans.hint("shuffle_hash"), named["id"] == spans["doc"], "left").select("id", "text", "spans", *more)
-    alone = slim.where("id IS NULL").select("id", "text", F.lit(None).cast("array<bigint>").alias("spans"), *more)
+    spans = repeated_spans(named, width)
+    texts = named.select("id", "row")
+    cut = texts.join(spans.hint("shuffle_hash"), texts["id"] == spans["doc"], "left").select("id", "row", "spans")
+    alone = slim.where("id IS NULL").select("id", "row", F.lit(None).cast("array<bigint>").alias("spans"))
     schema = ", ".join(
         ["id bigint, n_words bigint, n_removed bigint, kept_words string, kept_text string"]
         + [f"{name} {docs.schema[c].dataType.simpleString()}" for name, c in zip(more, carry)]
