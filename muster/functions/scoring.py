@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from muster.functions import text
+
 # The score ladder.
 EXTERNAL, EXACT, PREFIX, CONTAINS, SOFT_CONTAINS, COMPACT_CONTAINS = 1100, 1000, 940, 860, 780, 740
 TOKEN_EQUAL, TOKEN_PREFIX, TOKEN_CONTAINS, TOKEN_FUZZY, FUZZY_STEP = 100, 92, 82, 62, 8
@@ -194,7 +196,7 @@ def record_score(
     )
     ladder = F.when(q_primary == "", 1)
     if number is not None and typed is not None:
-        ladder = ladder.when((number != "") & (number == F.trim(typed)), EXTERNAL)
+        ladder = ladder.when((number != "") & (number == text.trimmed(typed)), EXTERNAL)
     return (
         ladder.when(primary == q_primary, EXACT)
         .when(F.startswith(primary, q_primary), PREFIX)

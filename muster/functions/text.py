@@ -181,3 +181,8 @@ def printed_date(text: Column) -> Column:
 def canonical_json(*fields: str) -> Column:
     """JSON with sorted keys, no blanks and nulls kept."""
     return F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"})
+
+
+def trimmed(value: Column) -> Column:
+    """Text without white space of any kind around it, also tabs, line ends and blanks that do not break."""
+    return F.regexp_replace(value, r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$", "")

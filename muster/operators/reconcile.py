@@ -115,10 +115,10 @@ def coverage(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
 
 def multiset_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of either side beyond those of the other, as often as they are in excess."""
-    return (
-        left.exceptAll(right).withColumn("side", F.lit("left"))
-        .unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
-    )
+    signed = left.withColumn("_n", F.lit(1)).unionByName(right.withColumn("_n", F.lit(-1)))
+    excess = signed.groupBy(*left.columns).agg(F.sum("_n").alias("_n")).filter("_n != 0")
+    times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("_n")))
+    return excess.withColumn("side", F.when(F.col("_n") > 0, "left").otherwise("right")).withColumn("_time", times).drop("_n", "_time")
 
 
 def metadata_mismatches(source: DataFrame, candidate: DataFrame, key: Sequence[str], meta: str) -> DataFrame:
@@ -131,15 +131,16 @@ def metadata_mismatches(source: DataFrame, candidate: DataFrame, key: Sequence[s
     )
 
 
-# A digest part is twelve hex digits, so sums of them stay exact in a decimal.
-_PARTS, _PART = 4, 12
+# A digest part is eight of the 64 hex digits, so sums of them stay exact in a decimal.
+_PARTS, _PART = 8, 8
 
 
 def dataset_digest(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """One row (records, digest) for a whole dataset, equal exactly when the multisets of rows are.
+    """One row (records, digest) for a whole dataset; equal for equal multisets of rows, whatever their order.
 
-    Each row gives the SHA-256 of its canonical JSON; the four parts of it are summed over all rows and
-    the sums are hashed. Sums combine map-side and need no order, so nothing is put in one place.
+    Each row gives the SHA-256 of its canonical JSON; its parts, all 64 digits of it, are summed over all rows
+    and the sums are hashed. Different multisets differ but for a chance collision. Sums combine map-side
+    and need no order, so nothing is put in one place.
     """
     row = df.select(F.sha2(text.canonical_json(*fields), 256).alias("h"))
     parts = [

@@ -40,9 +40,14 @@ def add_search_keys(df: DataFrame, name: str, prefix: str = "") -> DataFrame:
     return canonical.withColumns(keys).drop("_nfkc")
 
 
+def typed(query: str = "query") -> Column:
+    """The text of a query without white space of any kind around it; null is empty."""
+    return text.trimmed(F.coalesce(F.col(query), F.lit("")))
+
+
 def ready(query: str = "query", grade: str = "grade", section: str = "section") -> Column:
     """A roster query runs when it has text, or else both grade and section."""
-    return (F.trim(F.coalesce(F.col(query), F.lit(""))) != "") | (F.col(grade).isNotNull() & F.col(section).isNotNull())
+    return (typed(query) != "") | (F.col(grade).isNotNull() & F.col(section).isNotNull())
 
 
 def optional_eq(df: DataFrame, **values: object) -> DataFrame:
@@ -91,7 +96,7 @@ def query_keys(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Keys of each query; ``vocabulary`` holds the distinct words of the records in column ``word``."""
     anchored = queries.filter(F.col("q_primary") != "").withColumn("_anchor", _longest(F.col("q_soft")))
     runs = anchored.withColumn("_key", F.concat(F.lit("g:"), F.substring("_anchor", 1, GRAM)))
-    numbers = anchored.withColumn("_key", F.concat(F.lit("n:"), F.trim("query")))
+    numbers = anchored.withColumn("_key", F.concat(F.lit("n:"), F.col("query")))
     # near spellings meet on a form with letters left out, then the distance itself decides
     long_enough = anchored.filter(F.length("_anchor") >= scoring.FUZZY_MIN_LENGTH).select("_anchor").distinct()
     forms = long_enough.withColumn(
@@ -120,11 +125,11 @@ def score(
 ) -> DataFrame:
     """Scored pairs above zero of records (with search keys) and queries (``query_id``, ``query``).
 
-    ``facets`` pairs record columns with query columns holding the wanted value or null. Queries without
-    text are not handled here, see ``browse``. Record columns are kept; the query brings ``query_id``.
+    ``facets`` pairs record columns with query columns holding the wanted value or null. Queries whose text
+    normalizes to nothing are not handled here, see ``browse``. Record columns are kept; the query brings ``query_id``.
     """
     wanted = [q for _, q in facets]
-    asked = add_search_keys(queries.select("query_id", "query", *wanted), "query", "q_")
+    asked = add_search_keys(queries.select("query_id", typed().alias("query"), *wanted), "query", "q_")
     asked = settled(asked).select("*", *[F.col(q).alias(f"_f{i}") for i, q in enumerate(wanted)]).drop(*wanted)
     vocabulary = records.select(F.explode(scoring.tokens_of(F.col("soft"))).alias("word")).distinct()
     # the query keys are few: computed once, so that the many record keys meet them without a shuffle
@@ -141,21 +146,51 @@ def score(
     return hits.select("query_id", *records.columns, "score").dropDuplicates([key, "query_id"])
 
 
+def keyless(queries: DataFrame) -> DataFrame:
+    """Queries whose text normalizes to nothing: blank ones, and such as a lone mark."""
+    keyed = add_search_keys(queries.withColumn("query", typed()), "query", "q_")
+    return keyed.filter(F.col("q_primary") == "").select(*queries.columns)
+
+
+def _under_masks(df: DataFrame, columns: Sequence[str], asked: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` once for each set of facets that the queries leave open, open columns being null as ``_m<i>``.
+
+    Only the sets that occur among the queries are made; there are at most two to the number of facets.
+    """
+    masks = asked.select(*[F.col(w).isNotNull().alias(f"_o{i}") for i, w in enumerate(wanted)]).distinct().collect()
+    made = [F.struct(*[F.when(F.lit(m[i]), F.col(c)).alias(f"_m{i}") for i, c in enumerate(columns)], *[F.lit(m[i]).alias(f"_o{i}") for i in range(len(columns))]) for m in masks]
+    if not made:
+        return df.limit(0).select("*", *[F.col(c).alias(f"_m{i}") for i, c in enumerate(columns)])
+    complete = F.lit(True)
+    for i in range(len(columns)):
+        complete = complete & (~F.col(f"_o{i}") | F.col(f"_m{i}").isNotNull())
+    return df.select("*", F.explode(F.array(*made)).alias("_mask")).select(*df.columns, "_mask.*").filter(complete).drop(*[f"_o{i}" for i in range(len(columns))])
+
+
 def browse(records: DataFrame, queries: DataFrame, key: Sequence[tuple[str, str]]) -> DataFrame:
-    """Queries without text list the records equal in all facet columns; each scores 1."""
-    blank = queries.filter(F.trim(F.coalesce(F.col("query"), F.lit(""))) == "")
-    asked = sent_out(blank.select("query_id", *[F.col(q).alias(f"_f{i}") for i, (_, q) in enumerate(key)]))
+    """Queries without a search key list the records equal in all facets that they name; each scores 1."""
+    columns, wanted = [c for c, _ in key], [f"_f{i}" for i in range(len(key))]
+    asked = settled(keyless(queries).select("query_id", *[F.col(q).alias(f) for f, (_, q) in zip(wanted, key)]))
     match = F.lit(True)
-    for i, (column, _) in enumerate(key):
-        match = match & (F.col(column) == F.col(f"_f{i}"))
-    return records.join(asked, match).select("query_id", *records.columns, F.lit(1).alias("score"))
+    for i, f in enumerate(wanted):
+        match = match & F.col(f"_m{i}").eqNullSafe(F.col(f))
+    met = _under_masks(records, columns, asked, wanted).join(sent_out(asked), match)
+    return met.select("query_id", *records.columns, F.lit(1).alias("score"))
+
+
+def matches(
+    records: DataFrame, queries: DataFrame, key: str, number: str | None = None, facets: Sequence[tuple[str, str]] = ()
+) -> DataFrame:
+    """Scored pairs of all queries that have text, also where it normalizes to nothing."""
+    listed = browse(records, queries.filter(typed() != ""), facets)
+    return score(records, queries, key, number, facets).unionByName(listed)
 
 
 def direct_gate(scored: DataFrame) -> DataFrame:
     """Drop weaker matches of a query that has a direct one. Decided per query by an aggregate, not a window."""
     best = scored.groupBy("query_id").agg(F.max("score").alias("_best"))
     return (
-        scored.join(best, "query_id")
+        scored.join(sent_out(best), "query_id")
         .filter((F.col("_best") < scoring.DIRECT_GATE) | (F.col("score") >= scoring.DIRECT_GATE))
         .drop("_best")
     )
@@ -198,20 +233,18 @@ def page(ranked_df: DataFrame, offset: int, limit: int) -> DataFrame:
 def owners_for_facets(slots: DataFrame, queries: DataFrame, owner: str = "owner") -> DataFrame:
     """(query_id, owner) for queries with at least one facet, all of which hold on one lesson slot.
 
-    Each distinct slot stands under its value or nothing in every facet column (a cube), so open facets
-    are equal to nothing and one null-safe equi-join does it; the small query side is what gets sent out.
+    Each slot stands under its value or nothing for each set of facets that some query leaves open, so open
+    facets are equal to nothing and one null-safe equi-join does it; the small query side is what gets sent out.
     """
     facets = ["grade", "subject", "day_index", "period"]
     some = F.coalesce(*[F.col(f).cast("string") for f in facets]).isNotNull()
-    asked = sent_out(queries.filter(some).select("query_id", *[F.col(f).alias(f"q_{f}") for f in facets]))
-    options = slots.select(owner, *facets)
-    for facet in facets:
-        empty = F.lit(None).cast(options.schema[facet].dataType)
-        options = options.withColumn(facet, F.explode(F.array(F.col(facet), empty)))
+    wanted = [f"q_{f}" for f in facets]
+    asked = queries.filter(some).select("query_id", *[F.col(f).alias(q) for f, q in zip(facets, wanted)])
+    options = _under_masks(slots.select(owner, *facets), facets, asked, wanted)
     match = F.lit(True)
-    for facet in facets:
-        match = match & F.col(facet).eqNullSafe(F.col(f"q_{facet}"))
-    return options.join(asked, match).select("query_id", owner).distinct()
+    for i, q in enumerate(wanted):
+        match = match & F.col(f"_m{i}").eqNullSafe(F.col(q))
+    return options.join(sent_out(asked), match).select("query_id", owner).distinct()
 
 
 def search_owners(owners: DataFrame, slots: DataFrame, queries: DataFrame, owner: str = "owner", order: str = "source_page") -> DataFrame:
@@ -221,7 +254,8 @@ def search_owners(owners: DataFrame, slots: DataFrame, queries: DataFrame, owner
     """
     facets = ["grade", "subject", "day_index", "period"]
     some = F.coalesce(*[F.col(f).cast("string") for f in facets]).isNotNull()
-    has_text = F.trim(F.coalesce(F.col("query"), F.lit(""))) != ""
+    queries = settled(add_search_keys(queries.withColumn("query", typed()), "query", "q_"))
+    has_text = F.col("q_primary") != ""
     allowed = owners_for_facets(slots, queries, owner)
     named = settled(score(owners, queries.filter(has_text), owner))
     kept = named.join(sent_out(queries.select("query_id", some.alias("_bound"))), "query_id").join(

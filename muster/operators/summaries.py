@@ -148,13 +148,10 @@ def extraction_counts(blocks: DataFrame, owner: str = "owner") -> DataFrame:
 
 
 def many_labels(df: DataFrame, owner: str, label: str) -> DataFrame:
-    """Owners printed under more than one label. Distinct pairs first; labels are counted, and listed sorted."""
+    """Owners printed under more than one label: a row for every label of such an owner, with their number."""
     pairs = df.select(owner, label).distinct()
-    return (
-        pairs.groupBy(owner)
-        .agg(F.count(F.lit(1)).alias("labels"), F.min(label).alias("first_label"), F.max(label).alias("last_label"))
-        .filter(F.col("labels") > 1)
-    )
+    several = pairs.groupBy(owner).agg(F.count(F.lit(1)).alias("labels")).filter(F.col("labels") > 1)
+    return pairs.join(several, owner)
 
 
 def assemble_lines(

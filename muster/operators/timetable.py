@@ -80,10 +80,10 @@ def occupancy_grid(
 
 
 def slot_map(blocks: DataFrame, day: int, period: int, order: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """What every class has in one slot; the slot filter reaches the scan."""
-    at = blocks.filter((F.col("day_index") == day) & covers(F.lit(period)))
-    first = F.min_by(F.struct(*values), F.struct(*order)).alias("_first")
-    return at.groupBy("class_code").agg(first).select("class_code", "_first.*")
+    """What every class has in one slot: its first lesson, or nulls for a class without one. One aggregate."""
+    there = (F.col("day_index") == day) & covers(F.lit(period))
+    first = F.min_by(F.when(there, F.struct(*values)), F.when(there, F.struct(*order))).alias("_first")
+    return blocks.groupBy("class_code").agg(first).select("class_code", "_first.*")
 
 
 def unassigned_slots(blocks: DataFrame) -> DataFrame:

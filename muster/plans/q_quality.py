@@ -221,7 +221,7 @@ def q9(spark, folder):
 
 def digest_sql(view: str) -> str:
     parts = " || '|' || ".join(
-        f"CAST(coalesce(sum(CAST(('0x' || substring(h, {1 + 12 * i}, 12)) AS BIGINT)), 0) AS VARCHAR)" for i in range(4)
+        f"CAST(coalesce(sum(CAST(('0x' || substring(h, {1 + 8 * i}, 8)) AS BIGINT)), 0) AS VARCHAR)" for i in range(8)
     )
     return f"""SELECT count(*) AS records, sha256(count(*) || '|' || {parts}) AS digest
 FROM (SELECT sha256(CAST(to_json({{'cents': cents, 'day': day, 'o_custkey': o_custkey, 'o_orderkey': o_orderkey,

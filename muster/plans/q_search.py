@@ -26,7 +26,8 @@ def scored_sql(records: str, queries: str, key: str, number: str, facet: str, or
     """CTEs up to ``gated`` (query_id, key, score): all pairs in SQL, the token tier from a distance table."""
     return f"""
 rec AS (SELECT *, {primary_sql('name')} AS p, {soft_sql('name')} AS s, {compact_sql('name')} AS c FROM {records}),
-ask AS (SELECT *, {primary_sql('query')} AS qp, {soft_sql('query')} AS qs, {compact_sql('query')} AS qc FROM {queries}),
+typed AS (SELECT * REPLACE (regexp_replace(query, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS query) FROM {queries}),
+ask AS (SELECT *, {primary_sql('query')} AS qp, {soft_sql('query')} AS qs, {compact_sql('query')} AS qc FROM typed),
 words AS (SELECT DISTINCT w AS b FROM (SELECT unnest(string_split(s, ' ')) AS w FROM rec) WHERE w <> ''),
 asked AS (SELECT DISTINCT w AS a FROM (SELECT unnest(string_split(qs, ' ')) AS w FROM ask) WHERE w <> ''),
 close_words AS (SELECT a, b FROM asked, words WHERE length(a) >= 3 AND a[1] = b[1] AND abs(length(a) - length(b)) <= 2),
@@ -43,7 +44,7 @@ pair_scores AS (SELECT query_id, {key}, CASE WHEN qp = '' THEN 1
     {number} WHEN p = qp THEN 1000 WHEN starts_with(p, qp) THEN 940 WHEN contains(p, qp) THEN 860
     WHEN contains(s, qs) THEN 780 WHEN contains(c, qc) THEN 740 WHEN least_m = 0 THEN 0
     ELSE round(CASE WHEN least_m >= 82 THEN 700 ELSE 540 END + mean_m + CASE WHEN first_ts >= 90 THEN 25 ELSE 0 END) END AS score,
-    qp <> '' AS has_text, {order}
+    qp <> '' AS has_text, query <> '' AS has_query, {order}
   FROM rec r JOIN ask q ON ({facet}) LEFT JOIN tiers USING (s, qs) LEFT JOIN bonus USING (s, qs)),
 gated AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM pair_scores WHERE score > 0)
           WHERE NOT has_text OR top < 700 OR score >= 700)"""
@@ -89,7 +90,7 @@ def c21(spark, folder):
         .when(key % 7 == 2, F.substring(name, 3, 8))
         .when(key % 7 == 3, F.regexp_replace(name, " ", ""))
         .when(key % 7 == 4, F.concat_ws(" ", F.get(words, F.lit(1)), F.get(words, F.lit(0))))
-        .when(key % 7 == 5, F.concat(F.substring(name, 1, 1), F.substring(name, 3, 1), F.substring(name, 2, 1), F.substring(name, 4, 1000)))
+        .when(key % 7 == 5, F.concat(F.substring(name, 1, 1), F.substring(name, 3, 1), F.substring(name, 2, 1), F.substring(name, F.lit(4), F.length(name))))
         .otherwise(F.concat(name, F.lit(" xyz")))
     )
     both = search.add_search_keys(keyed_roster(spark, folder).withColumn("query", typed), "query", "q_")
@@ -108,14 +109,14 @@ def r1(spark, folder):
 
 
 @query("r2_score", "query_id bigint, id bigint, score bigint",
-       roster_sql() + " SELECT query_id, id, score FROM pair_scores WHERE score > 0 AND has_text")
+       roster_sql() + " SELECT query_id, id, score FROM pair_scores WHERE score > 0 AND has_query")
 def r2(spark, folder):
     facets = [("grade", "grade"), ("section", "section")]
-    return search.score(keyed_roster(spark, folder), query_rows(spark), "id", "number", facets)
+    return search.matches(keyed_roster(spark, folder), query_rows(spark), "id", "number", facets)
 
 
 @query("r3_direct_gate", "query_id bigint, id bigint, score bigint",
-       roster_sql() + " SELECT query_id, id, score FROM gated WHERE has_text")
+       roster_sql() + " SELECT query_id, id, score FROM gated WHERE has_query")
 def r3(spark, folder):
     return search.direct_gate(r2(spark, folder))
 
@@ -146,7 +147,7 @@ DERIVED_SQL = """derived AS (SELECT row_number() OVER (ORDER BY p_name) AS query
 FROM (SELECT query_id, id, score, {RANK_SQL} FROM gated) JOIN derived USING (query_id) GROUP BY query""")
 def r4_many(spark, folder):
     name = F.col("p_name")
-    swapped = F.concat(F.substring(name, 1, 1), F.substring(name, 3, 1), F.substring(name, 2, 1), F.substring(name, 4, 1000))
+    swapped = F.concat(F.substring(name, 1, 1), F.substring(name, 3, 1), F.substring(name, 2, 1), F.substring(name, F.lit(4), F.length(name)))
     asked = (
         spark.read.parquet(f"{folder}/part.parquet")
         .select("p_name")
@@ -228,7 +229,7 @@ def f7(spark, folder):
 
 @query("f8_ready_gate", "query_id bigint, id bigint", with_views("roster_v", "queries_v") + """
 SELECT query_id, id FROM queries_v q JOIN roster_v r ON r.grade = q.grade AND (q.section IS NULL OR r.section = q.section)
-WHERE trim(q.query) <> '' OR q.section IS NOT NULL""")
+WHERE regexp_replace(q.query, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') <> '' OR q.section IS NOT NULL""")
 def f8(spark, folder):
     asked = query_rows(spark).filter(search.ready()).select("query_id", "grade", F.col("section").alias("q_section"))
     pairs = roster(spark, folder).join(asked, "grade").filter(search.optional_match([("section", "q_section")]))

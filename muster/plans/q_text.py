@@ -351,7 +351,7 @@ FROM (SELECT id, string_split(a, ' ')[1 + id % 3] AS w, string_split(b, ' ')[1 +
 def c20(spark, folder):
     pick = (F.col("id") % 3).cast("int")
     word = F.get(F.split("a", " "), pick)
-    swapped = F.concat(F.substring(word, 1, 1), F.substring(word, 3, 1), F.substring(word, 2, 1), F.substring(word, 4, 1000))
+    swapped = F.concat(F.substring(word, 1, 1), F.substring(word, 3, 1), F.substring(word, 2, 1), F.substring(word, F.lit(4), F.length(word)))
     pairs = neighbours(spark, folder).select(
         "id", F.when(F.col("id") % 2 == 1, swapped).otherwise(word).alias("q"), F.get(F.split("b", " "), pick).alias("n")
     )

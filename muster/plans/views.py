@@ -85,7 +85,8 @@ QUERY_ROWS = """VALUES
  (4, 'smallring', NULL, NULL), (5, 'ring small', NULL, NULL), (6, 'samll rign', NULL, NULL),
  (7, 'ECNOOMY gizmo', NULL, NULL), (8, 're', NULL, NULL), (9, '', 6, 3), (10, '', 6, NULL),
  (11, 'zzzzz', NULL, NULL), (12, 'E35', NULL, NULL), (13, 'red', 7, NULL), (14, 'STANARD bolt', NULL, 4),
- (15, '  hot   gear ', NULL, NULL), (16, 'p anvil', NULL, NULL), (17, 'wigdet STNADARD', 5, NULL)"""
+ (15, '  hot   gear ', NULL, NULL), (16, 'p anvil', NULL, NULL), (17, 'wigdet STNADARD', 5, NULL),
+ (18, 'ـ', 6, NULL), (19, chr(9), 6, 3), (20, chr(9) || chr(160), 6, NULL), (21, chr(9) || 'E35', NULL, NULL), (22, 'ـ', NULL, 4)"""
 
 QUERY_ROWS_AR = """VALUES
  (1, 'حلقة صغيرة', NULL, NULL), (2, 'احمر لوحه', NULL, NULL), (3, 'أحمرلوحة', NULL, NULL),
@@ -190,7 +191,8 @@ OWNER_QUERY_ROWS = """VALUES
  (1, 'Supplier#000000003', NULL, NULL, NULL, NULL), (2, 'NATION_7', NULL, NULL, NULL, NULL),
  (3, 'Suplier#000000009', 7, NULL, NULL, NULL), (4, 'NATION_1 Supplier#', NULL, 'RF', 2, 3),
  (5, '', 6, 'AO', 1, 2), (6, '', NULL, NULL, NULL, NULL), (7, 'NAITON_3', NULL, NULL, 4, 1),
- (8, 'Supplier#00000000', 5, NULL, NULL, 8), (9, 'Supplier', NULL, 'ZZ', NULL, NULL)"""
+ (8, 'Supplier#00000000', 5, NULL, NULL, 8), (9, 'Supplier', NULL, 'ZZ', NULL, NULL),
+ (10, 'ـ', 6, 'AO', 1, 2), (11, chr(9), NULL, NULL, NULL, NULL)"""
 
 
 def owner_query_rows(spark: SparkSession) -> DataFrame:
@@ -393,24 +395,22 @@ VERIFIED = "2024-03-01"
 
 
 def snapshots(pages: DataFrame) -> DataFrame:
-    """Snapshots from pages: the whole article as the text of a post, with a status link, often a time, and images.
+    """Snapshots from pages: the whole page, with each article as the text of a post, a status link, often a time, and images.
 
     Neighbouring pages share an image; posts without a time are dated by their id, which is before the
     start of the archive. Each page holds its post twice.
     """
     key = F.col("page_id")
-    inner = F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1)
     source = F.shiftleft(key + 1, 40).cast("string")
     stamp = F.date_format(F.timestamp_millis(F.lit(1704067200000) + key * 3600000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     time = F.when(key % 7 != 0, F.concat(F.lit('<time datetime="'), stamp, F.lit('">now</time>'))).otherwise("")
     image = F.concat(F.lit(f"<img src=\"https://{posts.MEDIA_HOST}/media/M"), F.floor(key / 2).cast("string"), F.lit('.jpg?name=small">'))
     post = F.concat(
-        F.lit('<article><div data-testid="tweetText">'), inner, F.lit(f'</div><a href="/{ACCOUNT}/status/'), source,
+        F.lit('<article><div data-testid="tweetText">$1'), F.lit(f'</div><a href="/{ACCOUNT}/status/'), source,
         F.lit('">'), time, F.lit("</a>"), image, F.lit("</article>"),
     )
-    return pages.select(
-        key.alias("snapshot_id"), F.concat(F.lit("<html><body>"), post, post, F.lit("</body></html>")).alias("html")
-    )
+    whole = F.regexp_replace("html", F.lit("(?s)<article>(.*?)</article>"), F.concat(post, post))
+    return pages.select(key.alias("snapshot_id"), whole.alias("html"))
 
 
 SQL_VIEWS["posts_v"] = ((), f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,10 +27,16 @@ def build_session(app: str = "muster", master: str | None = None, **conf: str) -
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a scratch folder only where none is named."""
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a scratch folder serves a session whose executors are threads of this process; on a
+    cluster, whose machines would not see it, that is an error.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
         folder = tempfile.mkdtemp(prefix="muster-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
