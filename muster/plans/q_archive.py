@@ -192,12 +192,12 @@ def t4(spark, folder):
 
     base = fresh_path(spark, "status")
     events = spark.readStream.schema(table(spark, folder, "events").schema).parquet(f"{folder}/events.parq*")
-    last = incremental.VersionedTable(spark, f"{base}/last", "user_id bigint, micros bigint, event_id bigint, state string")
+    last = incremental.VersionedTable(spark, f"{base}/last", "user_id bigint, micros bigint, event_id bigint, state string", ["user_id"])
     run = incremental.track_status(
         status_columns(events), last, f"{base}/log", ["user_id"], status_day(), ["micros", "event_id"], "state", f"{base}/checkpoint"
     )
     run.awaitTermination()
-    return spark.read.parquet(f"{base}/log")
+    return incremental.change_log(spark, f"{base}/log", ["user_id"])
 
 
 # --- sources and sinks ----------------------------------------------------------------------------

@@ -2,6 +2,8 @@ import hashlib
 import json
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from muster.operators import quality, status
@@ -64,12 +66,16 @@ def test_roster_cells(spark):
     assert (bad.number, bad.expected) == (4, 3)
 
 
-def test_status_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("late", [False, True])
+def test_status_stream_equals_batch(spark, tmp_path, monkeypatch, late):
+    monkeypatch.setattr(incremental, "COMPACT", 2)
     rng = random.Random(17)
     rows = [(rng.choice([1, 1, 1, 2, 3]), i, rng.choice(["success", "failure"])) for i in range(400)]
+    if late:
+        rows = rows[160:240] + rows[:80] + rows[320:] + rows[240:320] + rows[80:160]
     schema = "user long, at long, state string"
     source, part = str(tmp_path / "source"), 80
-    last = incremental.VersionedTable(spark, str(tmp_path / "last"), schema)
+    last = incremental.VersionedTable(spark, str(tmp_path / "last"), schema, ["user"])
     day = F.floor(F.col("at") / 50)
     for start in range(0, 400, part):
         spark.createDataFrame(rows[start:start + part], schema).coalesce(1).write.mode("append").parquet(source)
@@ -77,6 +83,6 @@ def test_status_stream_equals_batch(spark, tmp_path):
             spark.readStream.schema(schema).parquet(source), last, str(tmp_path / "log"), ["user"], day, ["at"], "state", str(tmp_path / "checkpoint")
         )
         run.awaitTermination()
-    streamed = {tuple(r) for r in spark.read.parquet(str(tmp_path / "log")).select("user", "at", "state", "previous").collect()}
+    streamed = {tuple(r) for r in incremental.change_log(spark, str(tmp_path / "log"), ["user"]).select("user", "at", "state", "previous").collect()}
     batch = status.change_points(spark.createDataFrame(rows, schema), ["user"], day, ["at"], "state")
     assert streamed == {tuple(r) for r in batch.select("user", "at", "state", "previous").collect()}
