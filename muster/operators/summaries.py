@@ -1,6 +1,6 @@
 """Counts, rollups and facets.
 
-Group keys may be hot, so counts rely on map-side combine, and nested results come in bounded chunks.
+Group keys may be hot, so counts rely on map-side combine; nested results have one row per owner and day.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from muster.operators.ordering import ranked
 from muster.operators.timetable import DAYS, PERIODS, slots
 
 GRADES = (5, 6, 7, 8)  # fixed values: the grades of the school
-CHUNK = 500  # lessons per nested row
 
 
 def domain(spark: SparkSession, name: str, values: Sequence[int]) -> DataFrame:
@@ -78,19 +77,16 @@ def weekly_totals(owners: DataFrame, blocks: DataFrame, owner: str = "owner") ->
 LESSON_ORDER = ("day_index", "period_start", "period_end", "class_code", "subject")
 
 
-def weekly_lessons(blocks: DataFrame, tie: Sequence[str], owner: str = "owner", size: int = CHUNK) -> DataFrame:
-    """Nested lessons of each owner in canonical order, ``size`` per row, numbered by ``chunk``.
+def weekly_lessons(blocks: DataFrame, tie: Sequence[str], owner: str = "owner") -> DataFrame:
+    """Nested lessons in canonical order, one row per owner and day of the week whatever their number.
 
-    An owner with few lessons gets one row; a hot owner gets many, and no task holds all of it.
+    The order within a row is that of ``LESSON_ORDER``, then ``tie``; days in order give the week of an owner.
     """
-    lessons = ranked(blocks, [owner], [F.col(c) for c in LESSON_ORDER], [F.col(c) for c in tie])
     fields = [*LESSON_ORDER, "grade", "section"]
-    return (
-        lessons.withColumn("chunk", F.floor((F.col("rank") - 1) / size))
-        .groupBy(owner, "chunk")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", *fields))).alias("_items"))
-        .select(owner, "chunk", F.transform("_items", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("lessons"))
-    )
+    order = [F.col(c).alias(f"_o{i}") for i, c in enumerate([*LESSON_ORDER, *tie])]
+    item = F.struct(*order, F.struct(*fields).alias("lesson"))
+    ordered = F.array_sort(F.collect_list(item)).alias("_items")
+    return blocks.groupBy(owner, "day_index").agg(ordered).select(owner, "day_index", F.transform("_items", lambda x: x["lesson"]).alias("lessons"))
 
 
 def project_nested(df: DataFrame, array: str, fields: Sequence[str]) -> DataFrame:
@@ -154,22 +150,13 @@ def many_labels(df: DataFrame, owner: str, label: str) -> DataFrame:
     return pairs.join(several, owner)
 
 
-def assemble_lines(
-    words: DataFrame, key: Sequence[str], line: Column, x: str, text: str, tie: str, width: float, size: int = CHUNK
-) -> DataFrame:
-    """Text of each line of a cell, words from right to left; lines are numbered by their height.
+def ordered_words(words: DataFrame, key: Sequence[str], line: Column, x: str, tie: str, width: float) -> DataFrame:
+    """The words of each cell with their ``line``, numbered by height, and their ``rank`` in it from right to left.
 
-    A cell's text is its lines in order. Lines are kept apart and very long ones come in pieces of
-    ``size`` words, so that no task puts an unbounded number of words together.
+    One row per word, however many there are: in order of line and rank they are the text of the cell.
     """
     placed = words.withColumn("line", line)
-    numbered = ranked(placed, [*key, "line"], [F.floor(-F.col(x) / width)], [-F.col(x), F.col(tie)], name="_at")
-    parts = F.array_sort(F.collect_list(F.struct("_at", F.col(text).alias("t"))))
-    return (
-        numbered.withColumn("piece", F.floor((F.col("_at") - 1) / size))
-        .groupBy(*key, "line", "piece")
-        .agg(F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("text"))
-    )
+    return ranked(placed, [*key, "line"], [F.floor(-F.col(x) / width)], [-F.col(x), F.col(tie)], name="rank")
 
 
 def bounds_of(df: DataFrame, date: str) -> DataFrame:

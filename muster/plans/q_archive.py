@@ -204,14 +204,13 @@ def t4(spark, folder):
 
 @query("s1_read_payload", "owner bigint, document bigint, day_index bigint, period_start bigint, period_end bigint, class_code string, subject string",
        with_views("blocks_a") + f"""
-SELECT owner, (rank - 1) // 500 AS document, day_index, period_start, period_end, class_code, subject FROM (
-  SELECT *, row_number() OVER (PARTITION BY owner ORDER BY day_index, period_start, period_end, class_code, subject, {ROW_ORDER_SQL}) AS rank FROM blocks_a)""")
+SELECT owner, day_index AS document, day_index, period_start, period_end, class_code, subject FROM blocks_a""")
 def s1(spark, folder):
     path = fresh_path(spark, "payload")
     nested = summaries.weekly_lessons(blocks_a(spark, folder), ROW_ORDER)
     documents = nested.select(
         F.lit("timetable").alias("sourceFile"),
-        F.array(F.struct("owner", F.col("chunk").alias("document"), "lessons")).alias("teachers"),
+        F.array(F.struct("owner", F.col("day_index").alias("document"), "lessons")).alias("teachers"),
     )
     documents.write.json(path)
     lesson = "array<struct<day_index:bigint,period_start:bigint,period_end:bigint,class_code:string,subject:string>>"

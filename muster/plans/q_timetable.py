@@ -79,14 +79,14 @@ CHUNKS_SQL = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY owner OR
    class_code, subject, {ROW_ORDER_SQL}) AS rank FROM blocks_a)"""
 
 
-@query("f12_project_nested", "owner bigint, chunk bigint, lessons string", with_views("blocks_a") + f""", {CHUNKS_SQL}
-SELECT owner, (rank - 1) // 500 AS chunk, string_agg(class_code || ' ' || subject, ',' ORDER BY class_code, subject) AS lessons
-FROM numbered GROUP BY owner, (rank - 1) // 500""")
+@query("f12_project_nested", "owner bigint, day_index bigint, lessons string", with_views("blocks_a") + """
+SELECT owner, day_index, string_agg(class_code || ' ' || subject, ',' ORDER BY class_code, subject) AS lessons
+FROM blocks_a GROUP BY owner, day_index""")
 def f12(spark, folder):
     nested = summaries.weekly_lessons(blocks_a(spark, folder), ROW_ORDER)
     slim = summaries.project_nested(nested, "lessons", ["class_code", "subject"])
     shown = F.array_join(F.transform("lessons", lambda x: F.concat_ws(" ", x["class_code"], x["subject"])), ",")
-    return slim.select("owner", "chunk", shown.alias("lessons"))
+    return slim.select("owner", "day_index", shown.alias("lessons"))
 
 
 @query("r6_matching_lesson", "owner bigint, class_code string, subject string",
@@ -206,8 +206,8 @@ def a7(spark, folder):
 SHOWN_LESSON_SQL = "day_index || ' ' || period_start || '-' || period_end || ' ' || class_code || ' ' || subject"
 
 
-@query("a7_weekly_lessons", "owner bigint, chunk bigint, lessons string", with_views("blocks_a") + f""", {CHUNKS_SQL}
-SELECT owner, (rank - 1) // 500 AS chunk, string_agg({SHOWN_LESSON_SQL}, ',' ORDER BY rank) AS lessons FROM numbered GROUP BY ALL""")
+@query("a7_weekly_lessons", "owner bigint, day_index bigint, lessons string", with_views("blocks_a") + f""", {CHUNKS_SQL}
+SELECT owner, day_index, string_agg({SHOWN_LESSON_SQL}, ',' ORDER BY rank) AS lessons FROM numbered GROUP BY owner, day_index""")
 def a7_lessons(spark, folder):
     nested = summaries.weekly_lessons(blocks_a(spark, folder), ROW_ORDER)
 
@@ -216,7 +216,7 @@ def a7_lessons(spark, folder):
             " ", x["day_index"], F.concat_ws("-", x["period_start"], x["period_end"]), x["class_code"], x["subject"]
         )
 
-    return nested.select("owner", "chunk", F.array_join(F.transform("lessons", shown), ",").alias("lessons"))
+    return nested.select("owner", "day_index", F.array_join(F.transform("lessons", shown), ",").alias("lessons"))
 
 
 @query("a8_block_counts", "kind string, value string, n bigint", with_views("blocks_a") + """
@@ -276,13 +276,12 @@ def a15(spark, folder):
     return summaries.many_labels(blocks_b(spark, folder), "l_partkey", "subject")
 
 
-@query("a16_text_assembly", "page string, line bigint, piece bigint, text string", with_views("points_v") + """
-SELECT page, line, (rank - 1) // 500 AS piece, string_agg(text, ' ' ORDER BY rank) AS text
-FROM (SELECT *, row_number() OVER (PARTITION BY page, line ORDER BY x DESC, event_id) AS rank
-      FROM (SELECT *, CAST(round(y / 120.0) AS BIGINT) AS line FROM points_v)) GROUP BY ALL""")
+@query("a16_text_assembly", "page string, line bigint, rank bigint, text string", with_views("points_v") + """
+SELECT page, line, rank, text FROM (SELECT *, row_number() OVER (PARTITION BY page, line ORDER BY x DESC, event_id) AS rank
+      FROM (SELECT *, CAST(round(y / 120.0) AS BIGINT) AS line FROM points_v))""")
 def a16(spark, folder):
     line = F.round(F.col("y") / 120.0).cast("bigint")
-    return summaries.assemble_lines(points(spark, folder), ["page"], line, "x", "text", "event_id", width=100.0)
+    return summaries.ordered_words(points(spark, folder), ["page"], line, "x", "event_id", width=100.0)
 
 
 @query("o5_lesson_order", "owner bigint, rank bigint, day_index bigint, period_start bigint, period_end bigint, class_code string, subject string",

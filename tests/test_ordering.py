@@ -72,10 +72,9 @@ def test_digest_sees_content_not_order(rows):
     assert reconcile.dataset_digest(rows.union(rows.limit(1)), fields).head().digest != whole.digest
 
 
-def test_long_lines_come_in_pieces(spark):
+def test_words_of_a_line_are_ranked(spark):
     words = [("p", 0, (i * 37) % 101, i, f"w{i}") for i in range(101)] + [("q", 0, 1, 500, "solo")]
     df = spark.createDataFrame(words, "page string, y long, x long, i long, t string")
-    pieces = summaries.assemble_lines(df, ["page"], F.col("y"), "x", "t", "i", width=10.0, size=20).orderBy("page", "piece").collect()
-    assert [p.piece for p in pieces] == [0, 1, 2, 3, 4, 5, 0]
-    text = " ".join(p.text for p in pieces if p.page == "p").split()
-    assert text == [w[4] for w in sorted(words[:-1], key=lambda w: -w[2])]
+    rows = summaries.ordered_words(df, ["page"], F.col("y"), "x", "i", width=10.0).orderBy("page", "line", "rank").collect()
+    assert [r["rank"] for r in rows] == [*range(1, 102), 1]
+    assert [r["t"] for r in rows if r.page == "p"] == [w[4] for w in sorted(words[:-1], key=lambda w: -w[2])]
