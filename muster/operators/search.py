@@ -264,8 +264,8 @@ def search_owners(owners: DataFrame, slots: DataFrame, queries: DataFrame, owner
     by_text = kept.filter(~F.col("_bound") | F.col("_allowed")).select(*named.columns)
     blank = queries.filter(~has_text)
     by_facets = owners.join(allowed.join(blank.select("query_id"), "query_id", "left_semi"), owner)
-    ids = blank.filter(~some).agg(F.collect_set("query_id").alias("ids")).scalar()
-    everyone = owners.withColumn("_ids", ids).withColumn("query_id", F.explode("_ids")).drop("_ids")
+    # with no facet at all every owner is a hit: the open facet is null on both sides
+    everyone = browse(owners, blank.filter(~some).withColumn("_none", F.lit(None).cast(owners.schema[owner].dataType)), [(owner, "_none")])
     listed = by_facets.select("query_id", *owners.columns).unionByName(everyone.select("query_id", *owners.columns))
     # ranking reads its input twice, and this one rests on the lessons
     found = settled(direct_gate(by_text).unionByName(listed.withColumn("score", F.lit(1))))

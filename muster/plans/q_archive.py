@@ -364,8 +364,8 @@ def j13(spark, folder):
 
 
 @query("j14_unallocated", "event_id bigint, page string, y bigint", with_views("points_v", "ruling_cells_v") + f""", {BOXES_SQL}
-SELECT event_id, p.page, y FROM points_v p JOIN (SELECT page, min(y0) AS top, max(y1) AS bottom FROM boxes GROUP BY page) e ON e.page = p.page
-WHERE y > top AND y < bottom AND event_id NOT IN (
+SELECT event_id, p.page, y FROM points_v p JOIN (SELECT page, min(y0) AS top, max(y1) AS bottom, min(x0) AS edge FROM boxes GROUP BY page) e ON e.page = p.page
+WHERE y > top AND y < bottom AND x > edge AND event_id NOT IN (
   SELECT event_id FROM points_v p JOIN boxes b ON b.page = p.page AND y > y0 AND y < y1 AND x > x0 AND x < x1)""")
 def j14(spark, folder):
     words, cells = points(spark, folder), settled(boxes(spark, folder))
