@@ -58,7 +58,7 @@ def jaccard_components(docs, n, num, den):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def bm25(docs, queries, k=10, terms=16):
+def bm25(docs, queries, k=10, terms=16, common=2):
     counts = [(i, collections.Counter(words((text or "").translate(LOWER)))) for i, text in docs]
     n, average = len(counts), sum(sum(c.values()) for _, c in counts) / max(len(counts), 1)
     df = collections.Counter(w for _, c in counts for w in c)
@@ -66,7 +66,7 @@ def bm25(docs, queries, k=10, terms=16):
     out = []
     for q, text in queries:
         own = collections.Counter(words((text or "").translate(LOWER)))
-        asked = sorted((w for w in own if df[w] > 1), key=lambda w: (-own[w] * idf[w], w.encode()))[:terms]
+        asked = sorted((w for w in own if 1 < df[w] and df[w] * common <= max(n, 2 * common)), key=lambda w: (-(1 + math.log(own[w])) * idf[w], w.encode()))[:terms]
         found = []
         for i, c in counts:
             score = sum(
