@@ -10,7 +10,6 @@ from muster.plans.q_quality import ORDER_FIELDS
 from muster.plans.views import (
     ACCOUNT,
     ROW_ORDER,
-    ROW_ORDER_SQL,
     SYNC_START,
     VERIFIED,
     archive,
