@@ -7,6 +7,8 @@ are mixed, so that bytes of any length are covered without a Python loop over wo
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -64,6 +66,19 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return points, np.concatenate(([0], np.cumsum(sizes)))
 
 
+def sliced(batch: pa.RecordBatch, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces, so that the JVM holds few of its rows at a time."""
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can; idle workers then stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Words(NamedTuple):
     """Words of several texts one after another; ``offsets`` has one entry per text and one more."""
 

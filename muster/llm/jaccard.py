@@ -39,18 +39,18 @@ from pyspark.sql import functions as F
 from muster.llm import flat
 from muster.llm.components import components
 from muster.llm.flat import mixed
-from muster.llm.tables import kept
+from muster.llm.tables import bounded_batches, kept
 from muster.operators.sizing import sent_out
 
 SHINGLE, NUM, DEN = 5, 4, 5
 PARTS = 3
-#: 64-bit numbers of a sketch.
-SKETCH = 8
+#: 64-bit numbers of the wide sketch and of the one that it folds to.
+WIDE, SKETCH = 64, 8
 #: Hubs are tried while groups make over so many pairs per row.
 CROWDED = 8
 WORTH = 25
 #: Documents of a batch meet in parts of about so many bytes of text.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 #: Rows of a slice; they fit the bits of an element that hold its text.
 _ROW_BITS = 12
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -170,16 +170,23 @@ def _sketches(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One bit per bucket of elements: whether an odd number of them is in it.
 
     Where two sketches differ, an odd number of elements is in one of the sets only, so the number of bits that
-    differ is never above the number of such elements.
+    differ is never above the number of such elements. That holds for folded sketches too.
     """
-    rows, bits = len(offsets) - 1, 64 * SKETCH
-    at = np.repeat(np.arange(rows) * bits, np.diff(offsets)) + (mixed(elements) % np.uint64(bits)).astype(np.int64)
-    odd = (np.bincount(at, minlength=rows * bits) & 1).astype(np.uint8).reshape(rows, bits)
-    return np.packbits(odd, axis=1).view(np.int64)
+    rows = len(offsets) - 1
+    bit = mixed(elements) % np.uint64(64 * WIDE)
+    at = np.repeat(np.arange(rows) * WIDE, np.diff(offsets)) + (bit // np.uint64(64)).astype(np.int64)
+    out = np.zeros(rows * WIDE, dtype=np.uint64)
+    np.bitwise_xor.at(out, at, np.uint64(1) << (bit % np.uint64(64)))
+    return out.reshape(rows, WIDE)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * WIDE
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.reshape(-1).view(np.int64)))
 
 
 _BITS = [f"s{i}" for i in range(SKETCH)]
-_ROWS = "asked bigint, signature bigint, doc bigint, lead bigint, kind int, size bigint, " + ", ".join(f"{b} bigint" for b in _BITS)
+_ROWS = "asked bigint, signature bigint, doc bigint, lead bigint, kind int, size bigint, " + ", ".join(f"{b} bigint" for b in _BITS) + ", wide array<bigint>"
 #: Kinds of rows: a document itself, one that asks for a signature, one that has a partner in its batch.
 _SELF, _ASKS, _LED = 0, 1, 2
 
@@ -224,8 +231,10 @@ def _signed(n: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]],
             led[:-1] = new[:-1] & ~new[1:]  # asks, and has others in the batch
             asked = np.where(new, name, mixed(name + doc.astype(np.uint64) * _STEP))
             linked = (size > 0) & (lead != ids)
+            wide = np.concatenate(sketches)
+            folded = np.bitwise_xor.reduce(wide.reshape(len(wide), -1, SKETCH), axis=1).view(np.int64)
             several = len(ids) + len(doc)
-            yield pa.RecordBatch.from_arrays(
+            made = pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate((mixed(ids.astype(np.uint64) + _STEP), asked)).view(np.int64)),
                     pa.array(np.concatenate((np.zeros(len(ids), np.uint64), name)).view(np.int64), mask=np.concatenate((np.zeros(len(ids), bool), new))),
@@ -233,10 +242,14 @@ def _signed(n: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]],
                     pa.array(np.concatenate((lead, least)), mask=np.concatenate((~linked, new & ~led))),
                     pa.array(np.concatenate((np.full(len(ids), _SELF), np.where(new, _ASKS, _LED))), pa.int32()),
                     pa.array(np.concatenate((size, np.zeros(len(doc), np.int64))), mask=np.arange(several) >= len(ids)),
-                    *[pa.concat_arrays([pa.array(column), pa.nulls(len(doc), pa.int64())]) for column in np.concatenate(sketches).T],
+                    *[pa.concat_arrays([pa.array(column), pa.nulls(len(doc), pa.int64())]) for column in folded.T],
+                    pa.concat_arrays([_lists(wide), pa.nulls(len(doc), pa.list_(pa.int64()))]),
                 ],
                 names=[c.split()[0] for c in _ROWS.split(", ")],
             )
+            yield from flat.sliced(made)
+            del made, doc, name, least, asked, row
+            flat.give_back()
 
     return make
 
@@ -248,6 +261,7 @@ def _set_bytes(n: int) -> Callable[[Column], Column]:
         for _, part in flat.slices(texts, rows=1 << _ROW_BITS):
             elements, offsets = shingle_sets(part, n)
             out.extend(elements[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:]))
+        flat.give_back()
         return pa.array(out, pa.binary())
 
     return set_bytes
@@ -263,6 +277,7 @@ def _similar(num: int, den: int) -> Callable[..., Column]:
                 x, y = y, x
             both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
             out.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
+        flat.give_back()
         return pa.array(out, pa.bool_())
 
     return similar
@@ -285,16 +300,20 @@ def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame, n: int, num: i
     Sizes and sketches rule most others out. The texts of the rest are read once; each document's set goes to
     its pairs, where both meet by pair.
     """
-    left, right = (_named(info, x, "doc", "size", *_BITS) for x in "ab")
-    likely = pairs.join(left, F.col("a") == F.col("doc_a")).join(right, (F.col("b") == F.col("doc_b")) & _could_be(num, den)).select("a", "b")
+    left, right = (_named(info, x, "doc", "size", *_BITS, "wide") for x in "ab")
+    apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    likely = (
+        pairs.join(left, F.col("a") == F.col("doc_a")).join(right, (F.col("b") == F.col("doc_b")) & _could_be(num, den))
+        .where(apart * (den + num) <= (F.col("size_a") + F.col("size_b")) * (den - num)).select("a", "b")
+    )
     likely = kept(likely, "pairs")
     ends = F.explode(F.array(F.struct(F.col("a").alias("doc"), F.lit(True).alias("first")), F.struct(F.col("b").alias("doc"), F.lit(False).alias("first"))))
     asked = likely.select("a", "b", ends.alias("_e")).groupBy("_e.doc").agg(F.collect_list(F.struct("a", "b", "_e.first")).alias("pairs"))
     sets = docs.join(sent_out(kept(asked, "asked")), docs["id"] == F.col("doc")).select(_set_bytes(n)(F.col("text")).alias("set"), F.explode("pairs").alias("p"))
-    met = sets.select("p.a", "p.b", "p.first", "set").groupBy("a", "b").agg(
-        F.max(F.when(F.col("first"), F.col("set"))).alias("x"), F.max(F.when(~F.col("first"), F.col("set"))).alias("y")
-    )
-    return met.where("x IS NOT NULL AND y IS NOT NULL").where(_similar(num, den)("x", "y")).select("a", "b")
+    pair = Window.partitionBy("a", "b").orderBy(F.col("first").desc())  # two rows: no group is larger
+    other = F.when(~F.lead("first").over(pair), F.lead("x").over(pair))
+    met = sets.select("p.a", "p.b", "p.first", F.col("set").alias("x")).withColumn("y", other)
+    return met.where("first AND y IS NOT NULL").where(_similar(num, den)("x", "y")).select("a", "b").distinct()
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
@@ -323,7 +342,7 @@ def _open_groups(members: DataFrame, info: DataFrame, roots: DataFrame, links: D
 
 def _across(open_: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs of a signature in different components that nothing rules out; those of the base meet the others only."""
-    told = open_.select("signature", "doc", "root", "base").join(info, "doc")
+    told = open_.select("signature", "doc", "root", "base").join(info.drop("wide"), "doc")
     left, right = (_named(told, x, "signature", "doc", "root", "base", "size", *_BITS) for x in "ab")
     met = (F.col("signature_a") == F.col("signature_b")) & (F.col("root_a") != F.col("root_b")) & _could_be(num, den)
     return (
@@ -336,6 +355,7 @@ def join_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE, num: int = NUM, den: int = DEN
 ) -> DataFrame:
     """(id, n_shingles, component_id) of every document; the component is the least id reachable by links."""
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     named = slim.where("id IS NOT NULL")
     group = Window.partitionBy("asked")
@@ -345,8 +365,8 @@ def join_components(
         .where((F.col("kind") != _ASKS) | (F.col("_times") > 1) | F.col("lead").isNotNull())
     )
     lead = F.when(F.col("kind") == _ASKS, F.col("_least")).otherwise(F.col("lead"))
-    table = kept(rows.select("kind", F.coalesce("signature", "asked").alias("signature"), "doc", lead.alias("lead"), "size", *_BITS), "signatures")
-    info = table.where(F.col("kind") == _SELF).groupBy("doc").agg(F.max_by(F.struct("size", *_BITS), "size").alias("_i")).select("doc", "_i.*")
+    table = kept(rows.select("kind", F.coalesce("signature", "asked").alias("signature"), "doc", lead.alias("lead"), "size", *_BITS, "wide"), "signatures")
+    info = table.where(F.col("kind") == _SELF).groupBy("doc").agg(F.max_by(F.struct("size", *_BITS, "wide"), "size").alias("_i")).select("doc", "_i.*")
     info = kept(info, "sets")
     copies = table.where((F.col("kind") == _SELF) & F.col("lead").isNotNull()).select(F.col("lead").alias("a"), F.col("doc").alias("b"))
     members = table.where(F.col("kind") != _SELF).select("signature", "doc", "lead")
@@ -384,3 +404,24 @@ def join_components(
         F.col("id").alias(doc_id), F.lit(None).cast("bigint").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")
     )
     return told.unionByName(none)
+
+
+SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS e
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 3, least(len(ws), 1)))) AS i FROM d)
+), n AS (
+  SELECT d.doc_id, count(s.e) AS n FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+), links AS (
+  SELECT x.a, x.b FROM (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON b.e = a.e AND b.doc_id <> a.doc_id GROUP BY a.doc_id, b.doc_id) x
+  JOIN n p ON p.doc_id = x.a JOIN n q ON q.doc_id = x.b WHERE 100 * x.k >= 85 * (p.n + q.n - x.k)
+), reached AS (
+  SELECT doc_id AS v, doc_id AS r FROM n
+  UNION
+  SELECT links.b AS v, reached.r FROM reached JOIN links ON links.a = reached.v WHERE reached.r < links.b
+)
+SELECT n.doc_id, n.n AS n_shingles, min(reached.r) AS component_id FROM n JOIN reached ON reached.v = n.doc_id GROUP BY n.doc_id, n.n
+"""

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.llm import flat
+from muster.llm.tables import bounded_batches
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -101,6 +102,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", training_texts: int = TRAINING_TEXTS) -> Model:
     """Learn from the rows with text and label. The part beyond ``training_texts`` is left out by hash."""
     rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
+    bounded_batches(labelled.sparkSession)
     n = rows.count()
     if n > training_texts:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(training_texts / n * (1 << 30)))
@@ -157,6 +159,7 @@ def predicted(model: Model, spark, text: Column) -> Column:
     def predict_batch(texts: pa.Array) -> pa.Array:
         own = sent.value
         best, score = scores(texts, own)
+        flat.give_back()
         names = pa.array([*own.languages, UNKNOWN], pa.string())
         return pa.StructArray.from_arrays([names.take(pa.array(best % len(names))), pa.array(score)], names=["lang_pred", "score"])
 

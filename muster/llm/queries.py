@@ -31,14 +31,14 @@ def query(key: str, sql: str | None = None) -> Callable[[Run], Run]:
     return add
 
 
-@query("op1_substring_dedup")
+@query("op1_substring_dedup", substring.SQL)
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that windows of smaller documents cover, and a digest of the kept words."""
     cut = substring.dedup(documents(spark, folder))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
 
 
-@query("op2_ngram_jaccard")
+@query("op2_ngram_jaccard", jaccard.SQL)
 def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Set size and component of every document under links of 85 hundredths or more over four-word shingles."""
     return jaccard.join_components(documents(spark, folder), n=4, num=85, den=100)

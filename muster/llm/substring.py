@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from muster.llm import flat
 from muster.llm.flat import mixed
+from muster.llm.tables import bounded_batches
 
 WIDTH = 13
 #: Rounds of naming: runs, then pairs twice.
@@ -240,6 +241,7 @@ def _asked_symbols(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 ],
                 names=["asked", "symbol", "doc", "known"],
             )
+            flat.give_back()
 
     return ask
 
@@ -314,6 +316,7 @@ def _asked_windows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                  pa.array(np.arange(len(rest)) >= asks.sum())],
                 names=["window", "rest", "doc", "known"],
             )
+            flat.give_back()
 
     return ask
 
@@ -412,6 +415,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     ``kept_words`` has the kept words joined by one blank; ``kept_text`` is the text itself with the removed words
     cut out, so a text of which nothing is removed is unchanged. Carried columns may have any names.
     """
+    bounded_batches(docs.sparkSession)
     slim = docs.select(
         F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"), *[F.col(f"`{c}`").alias(f"_carry{i}") for i, c in enumerate(carry)]
     )
@@ -429,3 +433,23 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     )
     done = cut.mapInArrow(_cut(width), schema).unionByName(alone.mapInArrow(_cut(width), schema))
     return done.select(F.col("id").alias(doc_id), "n_words", "n_removed", "kept_words", "kept_text", *[F.col(m).alias(c) for m, c in zip(more, carry)])
+
+
+SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 12)) AS i FROM d)
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM g) WHERE doc_id > least
+), c AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS p FROM r
+), w AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d
+), k AS (
+  SELECT w.doc_id, count(*) AS n, string_agg(w.word, ' ' ORDER BY w.p) AS kept
+  FROM w LEFT JOIN c ON c.doc_id = w.doc_id AND c.p = w.p WHERE c.p IS NULL GROUP BY w.doc_id
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""

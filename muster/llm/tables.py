@@ -11,6 +11,21 @@ from muster.session import fresh_path, use_utc
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Default limits of Arrow batches, and those that serve long texts.
+_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m"),
+}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of at most about 8 MB, so that the memory of a worker does not depend on
+    how long they are. Limits that the session was given stay."""
+    for name, (default, ours) in _BATCHES.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, ours)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """The whole table of documents."""
     use_utc(spark)

@@ -34,6 +34,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from muster.llm.tables import bounded_batches
+
 RESPONSES = "record_id string, target_uri string, date string, headers map<string,string>, block binary"
 DERIVED = (
     "record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, "
@@ -147,6 +149,7 @@ def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def derive(records: DataFrame, key: str = "record_id") -> DataFrame:
     """Metadata and conversion record of every response record, after the column ``key`` of the response."""
+    bounded_batches(records.sparkSession)
     slim = records.select(*_RESPONSE_NAMES, F.col(key).alias("_key"))
     made = slim.mapInArrow(_derived, f"_key {records.schema[key].dataType.simpleString()}, {DERIVED}")
     return made.drop("_key") if key in _DERIVED_NAMES else made.withColumnRenamed("_key", key)
