@@ -1,5 +1,7 @@
 """Substring dedup, the n-gram join, components and search against plain versions on random texts."""
 
+import collections
+import math
 import random
 
 import plain
@@ -143,6 +145,45 @@ def test_search_equals_scoring_every_document(spark, small_batches, monkeypatch,
     assert got == sorted(plain.bm25(docs, [d for d in docs if d[0] % 5 == 0]))
 
 
+@pytest.mark.parametrize("shard_bytes, asked, cells", [(1, 300, 100), (1 << 12, 1 << 22, 1 << 20), (1 << 25, 2000, 1 << 20)])
+def test_whole_text_search_equals_scoring_every_document(spark, small_batches, monkeypatch, shard_bytes, asked, cells):
+    for name, value in (("SHARD_BYTES", shard_bytes), ("ASKED", asked), ("CELLS", cells), ("ADDED", 50)):
+        monkeypatch.setattr(bm25, name, value)
+    docs = corpus(9) + [(100_001, "w1 " * 3000), (100_020, "w1 rare5 rare6"), (100_025, " ".join(f"rare{i}" for i in range(60))), (100_030, "own W1")]
+    rows = frame(spark, docs)
+    shards = bm25.build_shards(rows)
+    df, n, average = bm25.frequencies(shards)
+    chosen = [d for d in docs if d[0] % 5 == 0]
+    found = bm25.search_whole(shards, bm25.whole_queries(rows.where(F.col("doc_id") % 5 == 0), df, n), average)
+    assert sorted((r["query"], r["doc"], r["rank"], r["score"]) for r in found.collect()) == sorted(whole_text(docs, chosen))
+
+
+def whole_text(docs, queries, k=10):
+    """The k best documents by the sum over all words of a query."""
+    counts = [(i, collections.Counter(plain.words((t or "").translate(plain.LOWER)))) for i, t in docs]
+    average = sum(sum(c.values()) for _, c in counts) / len(counts)
+    df = collections.Counter(w for _, c in counts for w in c)
+    out = []
+    for q, text in queries:
+        own = set(plain.words((text or "").translate(plain.LOWER)))
+        found = []
+        for i, c in counts:
+            idf = {w: math.log(1 + (len(counts) - df[w] + 0.5) / (df[w] + 0.5)) for w in own & set(c)}
+            parts = [math.floor(1e6 * idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / average)) + 0.5) for w in idf]
+            found += [(-sum(parts), i)] if parts else []
+        out += [(q, i, rank, -score) for rank, (score, i) in enumerate(sorted(found)[:k], 1)]
+    return out
+
+
+def test_documents_whose_impacts_round_to_nothing_are_found():
+    import numpy as np
+
+    rows = bm25._shard_rows(0, np.array([9, 4, 6]), np.array([1, 1, 1]), np.array([0, 1, 2]), np.array([5, 5, 8], np.uint64))
+    best = bm25._Best(1, 2)
+    bm25._rank_shard(rows, (np.array([0, 1]), np.array([0]), np.array([5], np.uint64), np.array([1e-9])), 1.0, best)
+    assert best.scores.tolist() == [[0, 0]] and best.ids.tolist() == [[4, 9]]
+
+
 def test_block_max_wand_equals_full_sums():
     import numpy as np
 
