@@ -95,9 +95,8 @@ class Bands:
 
     def __init__(self, largest: int, num: int, den: int):
         starts = [1, 2]
-        while starts[-1] <= largest:
+        while starts[-2] <= largest:  # one further start: the last band, too, ends where it ends for any larger set
             starts.append(max(starts[-1] + 1, -(-starts[-1] * max(3 * num, 2 * den) // (2 * num))))
-        starts.append(-(-starts[-1] * max(3 * num, 2 * den) // (2 * num)) + 1)
         self.starts = np.array(starts, dtype=np.int64)
         needed = _differing(self.starts[1:] - 1, num, den) // 2 + 1
         self.spare = (needed + 6) // 12
