@@ -387,7 +387,7 @@ def join_components(
         hubs = hubs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
         new = kept(hubs.join(tested, ["a", "b"], "left_anti"), "hubs") if pairs > CROWDED * rows else None
         found = kept(_verified(named, info, new, n, num, den), "found") if new is not None else None
-        last = found is None or found.count() * WORTH < new.count()
+        last = found is None or found.count() * WORTH <= new.count()  # also where nothing is left to compare
         if last:
             new = kept(_across(open_, info, num, den).join(_both_ways(tested), ["a", "b"], "left_anti"), "across")
             found = kept(_verified(named, info, new, n, num, den), "found")

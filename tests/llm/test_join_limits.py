@@ -1,6 +1,9 @@
-"""The n-gram join at the edges of its bands of sizes."""
+"""The n-gram join at the edges of its bands of sizes, and where hubs link no more."""
+
+import random
 
 import numpy as np
+import plain
 import pytest
 
 from muster.llm import jaccard
@@ -26,3 +29,32 @@ def test_bands_do_not_depend_on_the_largest_set():
             some = jaccard.Bands(largest, num, den)
             assert some.parts.tolist() == whole.parts[: len(some.parts)].tolist()
             assert some.starts.tolist() == whole.starts[: len(some.starts)].tolist()
+
+
+def test_join_ends_where_the_rest_of_a_family_was_already_compared_with_its_hub(spark, monkeypatch):
+    rng = random.Random(2)
+    docs = []
+    for _ in range(40):
+        own = [f"b{i}" for i in range(100)]
+        for at in rng.sample(range(100), rng.randint(0, 45)):
+            own[at] = f"n{rng.randrange(10**6)}"
+        docs.append(" ".join(own))
+    docs = list(zip(rng.sample(range(1, 400), 40), docs))
+    turns, groups = [], jaccard._open_groups
+
+    def same(*args):  # what the hub found changes nothing for the rest: groups, hubs and pairs stay as they were
+        turns.append(turns[0] if turns else groups(*args))
+        assert len(turns) <= 3, "the same hubs again and again"
+        return turns[0]
+
+    monkeypatch.setattr(jaccard, "CROWDED", 0)
+    monkeypatch.setattr(jaccard, "_open_groups", same)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    try:
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(rows, n=1, num=60, den=100).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == plain.jaccard_components(docs, 1, 60, 100)
+    assert len(turns) == 2
