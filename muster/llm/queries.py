@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bm25, bpe_count, chat, jaccard, langid, mixing, packing, quality, substring, warc
+from muster.llm import bm25, bpe_count, centroids, chat, jaccard, langid, merkle, mixing, oddsketch, packing, quality, substring, warc
 from muster.llm.tables import documents, kept
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -122,3 +122,23 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text", "lang", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"))
     model = langid.fit(docs.where("NOT held_out"))
     return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op11_centroid_clusters", centroids.SQL)
+def op11_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster, distance and inertia of every whole vector after five rounds around forty centroids."""
+    assigned, last = centroids.cluster(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return centroids.told(assigned, last)
+
+
+@query("op12_merkle_manifest", merkle.SQL)
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether the proof holds for a text that may have been changed."""
+    manifest = merkle.build(merkle.document_leaves(documents(spark, folder)), "lang", "doc_id", carry=["tampered"])
+    return merkle.proofs(manifest, "doc_id", "tampered")
+
+
+@query("op13_near_duplicates", oddsketch.SQL)
+def op13_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Set size and component of every document under links of 85 hundredths or more over five-word shingles."""
+    return oddsketch.near_duplicates(documents(spark, folder))
