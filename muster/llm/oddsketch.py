@@ -5,12 +5,12 @@
    sampled pair of bin and element flips one of ``64 * WORDS`` bits. The exclusive or of two sketches is the sketch of
    the samples' symmetric difference, and the number of its bits tells how large that is; a small set is its own
    sample, so the estimate is nearly exact there. ``most_apart`` is the number of bits that a pair at the threshold
-   stays under but for about one in a billion.
+   stays under but for fewer than one in a million.
 2. Texts with one set are one class and link with each other; only classes go on.
 3. Classes that share a band key are candidates. Each is first compared with one other, the least of the class it
    shares most keys with; so a group of n gives n - 1 pairs. Components are built of what links.
 4. While keys hold classes of several components and such a comparison links many, those outside of a key's main
-   component are compared with its most linked class. At last all classes that share a key across components meet,
+   component are compared with its most linked class, up to ``HUBS`` such classes a round. At last all classes that share a key across components meet,
    each pair at the first key they share, and only if sizes and odd sketches leave it possible.
 5. All candidates are confirmed on their whole sets (``pairs.confirmed``).
 
@@ -42,9 +42,11 @@ from muster.operators.sizing import sent_out
 SHINGLE, NUM, DEN = 5, 85, 100
 BANDS, DEPTH = 32, 5
 #: Bins of a sample, and 64-bit words of its sketch.
-BINS, WORDS = 1024, 16
+BINS, WORDS = 2048, 32
 #: Standard deviations that a candidate's sample may be off.
-SURE = 6
+SURE = 5
+#: Hubs that a class is compared with in a round.
+HUBS = 3
 #: Another round with hubs pays while one in so many of its comparisons links.
 WORTH = 25
 _ROWS = 1 << 12
@@ -106,7 +108,7 @@ def most_apart(a: Column, b: Column, bins_a: Column, bins_b: Column, num: int, d
     drawn = 4 * s * (1 - s) * filled * F.greatest(1 - filled / union, F.lit(0.0))
     slope = F.exp(-2 * apart / bits)
     fallen = F.greatest(bits / 4 * (1 - slope * slope) - apart * slope * slope, F.lit(0.0))
-    return bits / 2 * (1 - slope) + SURE * F.sqrt(slope * slope * drawn + fallen) + 4
+    return bits / 2 * (1 - slope) + SURE * F.sqrt(slope * slope * drawn + fallen) + 3
 
 
 _BITS = [f"s{i}" for i in range(WORDS)]
@@ -139,29 +141,28 @@ def _signed(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     return make
 
 
-def _named_set(n: int) -> Callable[..., Column]:
-    @F.arrow_udf("struct<h1:bigint,h2:bigint,set:binary>")
-    def named_set(texts: pa.Array) -> pa.Array:
-        names, sets = [[], []], []
-        for _, part in flat.slices(texts, rows=_ROWS):
+def _set_named(n: int) -> Callable[..., Column]:
+    @F.arrow_udf("binary")
+    def set_named(texts: pa.Array, first: pa.Array, second: pa.Array) -> pa.Array:
+        """The set of each text as bytes, where it has the given name; else null."""
+        out, asked = [], [x.to_numpy(zero_copy_only=False) for x in (first, second)]
+        for row, part in flat.slices(texts, rows=_ROWS):
             elements, offsets = shingle_sets(part, n)
-            for out, name in zip(names, set_names(elements, offsets)):
-                out.append(name.view(np.int64))
-            sets.extend(elements[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:]))
+            told = [x.view(np.int64) == y[row : row + len(part)] for x, y in zip(set_names(elements, offsets), asked)]
+            out.extend(elements[a:b].tobytes() if same else None for a, b, same in zip(offsets[:-1], offsets[1:], told[0] & told[1]))
         flat.give_back()
-        h1, h2 = (pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in names)
-        return pa.StructArray.from_arrays([h1, h2, pa.array(sets, pa.binary())], names=["h1", "h2", "set"])
+        return pa.array(out, pa.binary())
 
-    return named_set
+    return set_named
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, n: int) -> Callable[[DataFrame], DataFrame]:
-    """The sets of the asked classes, made from the texts of their least documents."""
+    """The sets of the asked classes, made from the texts of their least documents; an id may stand for several texts."""
 
     def sets_of(asked: DataFrame) -> DataFrame:
         wanted = asked.join(classes.select("node", "doc", "h1", "h2"), "node")
-        made = docs.join(sent_out(kept(wanted, "wanted")), docs["id"] == F.col("doc")).select("node", "n", "h1", "h2", _named_set(n)(F.col("text")).alias("_s"))
-        return made.where("_s.h1 = h1 AND _s.h2 = h2").select("node", "n", "_s.set")  # an id may stand for several texts
+        met = docs.join(sent_out(kept(wanted, "wanted")), docs["id"] == F.col("doc"))
+        return met.select("node", "n", _set_named(n)(F.col("text"), F.col("h1"), F.col("h2")).alias("set")).where("set IS NOT NULL")
 
     return sets_of
 
@@ -236,8 +237,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     while not last:
         open_ = kept(_open_keys(open_, classes, roots, links), "open")
         hubs = open_.where("root != base").groupBy(F.col("node").alias("b"), F.col("hub").alias("a")).agg(F.count(F.lit(1)).alias("n"))
-        hubs = hubs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-        new = kept(_new(hubs, tried), "hubs")
+        nearest = _new(hubs, tried).groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "a")), False), 1, HUBS).alias("_a"))  # one a key at most
+        new = kept(nearest.select(F.explode("_a.a").alias("a"), "b"), "hubs")
         found = kept(confirmed(_checked(new, classes, num, den), sets_of, num, den), "found")
         last = found.count() * WORTH <= new.count()  # also where nothing is left to compare
         links, tried = kept(links.union(found), "links"), kept(tried.union(new), "tried")
