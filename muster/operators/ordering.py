@@ -92,23 +92,25 @@ def bounds(
         marks.select(bucket, F.col(at).alias("_at"), F.col(at).alias("_mark"), F.lit(False).alias("_asked"))
     )
     places = both.groupBy("_b", "_at").agg(F.max("_mark").alias("_mark"), F.max("_asked").alias("_asked"))
-    row = Window.partitionBy("_b").orderBy("_at")
+    # frames that grow row by row are kept up; one that shrinks would be worked out anew for each row, so the marks above
+    # are read in descending order
+    row, back = Window.partitionBy("_b").orderBy("_at"), Window.partitionBy("_b").orderBy(F.col("_at").desc())
     last_below = Window.currentRow if inclusive else -1
     near = places.select(
         "_b",
         "_at",
         "_asked",
         F.max("_mark").over(row.rowsBetween(Window.unboundedPreceding, last_below)).alias("_lo"),
-        F.min("_mark").over(row.rowsBetween(1, Window.unboundedFollowing)).alias("_hi"),
+        F.min("_mark").over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("_hi"),
     ).filter("_asked")
-    line = Window.partitionBy("_b.k").orderBy("_b.at")
+    line, line_back = Window.partitionBy("_b.k").orderBy("_b.at"), Window.partitionBy("_b.k").orderBy(F.col("_b.at").desc())
     carry = (
         places.groupBy("_b")
         .agg(F.min("_mark").alias("_min"), F.max("_mark").alias("_max"))
         .select(
             "_b",
             F.max("_max").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"),
-            F.min("_min").over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_above"),
+            F.min("_min").over(line_back.rowsBetween(Window.unboundedPreceding, -1)).alias("_above"),
         )
     )
     found = near.join(carry, "_b").select(

@@ -67,11 +67,12 @@ class VersionedTable:
     def write(self, df: DataFrame, version: int = -1) -> None:
         """The rows that a batch touched; now and then also the whole table, after which older folders are removed."""
         df.write.mode("overwrite").parquet(self._folder(version))
-        parts = self._parts(version + 1)
-        if len(parts) > COMPACT:
+        if len(self._parts(version + 1)) > COMPACT:
             self.read(before=version + 1).write.mode("overwrite").parquet(self._folder(version, "w"))
-            for v, path in parts:
-                if v < version:  # the batch itself may be run again
+            # the batch may be run again and then reads the table before it: the last whole one and what follows stay
+            for last in [v for v in self._finished("w") if v < version][-1:]:
+                gone = [self._folder(v) for v in self._finished() if v <= last] + [self._folder(v, "w") for v in self._finished("w") if v < last]
+                for path in gone:
                     place, system = self._system(path)
                     system.delete(place, True)
 

@@ -46,6 +46,11 @@ def test_bounds(rows, inclusive):
         assert r.hi == min([v for v in near if v > r.y], default=None)
 
 
+def test_bounds_read_no_frame_that_shrinks(rows):
+    plan = ordering.bounds(rows, rows.filter("i % 9 = 0").select("key", "y").distinct(), ["key"], "y", 25, "lo", "hi")._jdf.queryExecution().toString()
+    assert "unboundedfollowing" not in plan.lower()
+
+
 @pytest.mark.parametrize("tolerance", [None, 1.0])
 def test_assign_cells(spark, tolerance):
     rng = random.Random(13)
