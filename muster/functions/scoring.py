@@ -38,7 +38,8 @@ def osa_distance(a: Column, b: Column) -> Column:
     """Edit distance where swapping neighbours costs one and no substring is edited twice.
 
     Letters shared at either end do not count, so only the differing cores are compared. They come out
-    reversed, which changes no distance.
+    reversed, which changes no distance. A core of up to ``BITS`` letters is held in the bits of one number and the
+    distance takes one step per letter of the other; two longer cores fill the table of distances.
     """
 
     def reversed_cores(pair: Column) -> Column:
@@ -46,7 +47,70 @@ def osa_distance(a: Column, b: Column) -> Column:
 
     started = bind(F.struct(a.alias("a"), b.alias("b")), _past_common_start)
     cores = bind(bind(started, reversed_cores), _past_common_start)
-    return bind(cores, lambda pair: _fill(pair["a"], pair["b"]))
+
+    def of_cores(pair: Column) -> Column:
+        a_first = F.length(pair["a"]) <= F.length(pair["b"])
+        short, long = F.when(a_first, pair["a"]).otherwise(pair["b"]), F.when(a_first, pair["b"]).otherwise(pair["a"])
+        ordered = F.struct(short.alias("a"), long.alias("b"))
+        return bind(ordered, lambda p: F.when(p["a"] == "", F.length(p["b"])).when(F.length(p["a"]) <= BITS, _fold_bits(p["a"], p["b"])).otherwise(_fill(p["a"], p["b"])))
+
+    return bind(cores, of_cores)
+
+
+#: Letters of a word that fit the bits of a signed number, with room for the carry of one addition.
+BITS = 62
+
+
+def _letters(word: Column) -> Column:
+    return F.filter(F.split(word, ""), lambda x: x != "")
+
+
+def _fold_bits(short: Column, long: Column) -> Column:
+    """One step per letter of ``long`` over bit vectors with one bit per letter of ``short``.
+
+    ``up`` and ``down`` mark the places where the current column of the table of distances rises or falls by one, ``even`` those whose
+    diagonal step is free; only the distance at the last place is kept as a number. A swap is a place that the letter matches,
+    whose neighbour the letter before matches, where the diagonal step before was not free.
+    """
+    shift = lambda value, n: F.call_function("shiftleft", value, n)
+    flip = F.bitwise_not
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def places(letters: Column, letter: Column) -> Column:
+        return F.aggregate(F.transform(letters, lambda x, i: F.when(x == letter, shift(one, i)).otherwise(none)), none, lambda m, b: m.bitwiseOR(b))
+
+    def fold(known: Column) -> Column:
+        whole, last = known["whole"], known["last"]
+
+        def step(state: Column, letter: Column) -> Column:
+            def with_hits(hits: Column) -> Column:
+                swap = shift(flip(state["even"]).bitwiseAND(hits), F.lit(1)).bitwiseAND(state["hits"])
+                carried = (hits.bitwiseAND(state["up"]) + state["up"]).bitwiseXOR(state["up"])
+                even = carried.bitwiseOR(hits).bitwiseOR(state["down"]).bitwiseOR(swap).bitwiseAND(whole)
+
+                def with_even(even: Column) -> Column:
+                    rise = state["down"].bitwiseOR(flip(even.bitwiseOR(state["up"]))).bitwiseAND(whole)
+                    fall = even.bitwiseAND(state["up"])
+                    return bind(F.struct(even.alias("even"), rise.alias("rise"), fall.alias("fall")), moved)
+
+                def moved(x: Column) -> Column:
+                    rise = shift(x["rise"], F.lit(1)).bitwiseOR(one)
+                    change = F.when(x["rise"].bitwiseAND(last) != 0, 1).when(x["fall"].bitwiseAND(last) != 0, -1).otherwise(0)
+                    up = shift(x["fall"], F.lit(1)).bitwiseOR(flip(x["even"].bitwiseOR(rise))).bitwiseAND(whole)
+                    down = rise.bitwiseAND(x["even"]).bitwiseAND(whole)
+                    return F.struct(up.alias("up"), down.alias("down"), x["even"].alias("even"), hits.alias("hits"), (state["distance"] + change).alias("distance"))
+
+                return bind(even, with_even)
+
+            return bind(F.element_at(known["places"], letter), with_hits)
+
+        start = F.struct(whole.alias("up"), none.alias("down"), none.alias("even"), none.alias("hits"), F.length(short).alias("distance"))
+        return F.aggregate(_letters(long), start, step, lambda state: state["distance"])
+
+    kinds = F.array_distinct(_letters(long))
+    last = shift(one, F.length(short) - 1)
+    table = bind(_letters(short), lambda letters: F.map_from_arrays(kinds, F.transform(kinds, lambda x: places(letters, x))))
+    return bind(F.struct((last - 1).bitwiseOR(last).alias("whole"), last.alias("last"), table.alias("places")), fold)
 
 
 def _fill(a: Column, b: Column) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from muster.functions import scoring, text
@@ -196,6 +196,15 @@ def direct_gate(scored: DataFrame) -> DataFrame:
     )
 
 
+def roster_matches(
+    records: DataFrame, queries: DataFrame, key: str = "id", number: str | None = "number", grade: str = "grade", section: str = "section"
+) -> DataFrame:
+    """All matches (``query_id``, record columns, ``score``) of the queries that are ready, after the gate."""
+    facets = [(grade, "grade"), (section, "section")]
+    usable = queries.filter(ready())
+    return direct_gate(settled(score(records, usable, key, number, facets))).unionByName(browse(records, usable, facets))
+
+
 def search_roster(
     records: DataFrame,
     queries: DataFrame,
@@ -208,15 +217,11 @@ def search_roster(
     """Ranked matches per query: score (for queries with text), then grade, section and roster order.
 
     Adds ``rank`` and ``total``. Queries that are not ready give nothing. The roster order is bucketed by
-    range, so that ranking one query with very many matches spreads over the cluster.
+    range, so that ranking one query with very many matches spreads over the cluster. Where only a page is
+    wanted, ``search_roster_page`` does not rank what lies beyond it.
     """
-    facets = [(grade, "grade"), (section, "section")]
-    usable = queries.filter(ready())
-    found = direct_gate(settled(score(records, usable, key, number, facets))).unionByName(
-        browse(records, usable, facets)
-    )
     return ranked(
-        found,
+        roster_matches(records, queries, key, number, grade, section),
         ["query_id"],
         [-F.col("score"), F.col(grade), F.col(section), F.floor(F.col(order) / BUCKET)],
         [F.col(order), F.col(key)],
@@ -224,6 +229,37 @@ def search_roster(
     )
 
 
+def search_roster_page(
+    records: DataFrame,
+    queries: DataFrame,
+    offset: int = 0,
+    limit: int = PAGE_SEARCH,
+    key: str = "id",
+    number: str | None = "number",
+    grade: str = "grade",
+    section: str = "section",
+    order: str = "roster_order",
+) -> DataFrame:
+    """One page of ``search_roster`` per query, with ``has_more``, without ranking all matches."""
+    found = roster_matches(records, queries, key, number, grade, section)
+    return best_page(found, [F.col("score").desc(), F.col(grade), F.col(section), F.col(order), F.col(key)], offset, limit)
+
+
+def best_page(found: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
+    """Rows ``offset`` + 1 to ``offset`` + ``limit`` of each query in the given order, with ``rank``, ``total`` and ``has_more``.
+
+    A row number below a bound lets every task cut each query to its first rows before the shuffle and once more after it,
+    so a task sends and reads ``offset`` + ``limit`` rows a query at most; the totals are counted apart. Spark does so up to the bound of
+    spark.sql.optimizer.windowGroupLimitThreshold (1000); beyond it ``ranked`` and ``page`` spread a long ranking better.
+    """
+    last = offset + limit
+    totals = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("total")).withColumnRenamed("query_id", "_query")
+    placed = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    first = placed.filter(F.col("rank") <= last).filter(F.col("rank") > offset)
+    counted = first.join(totals, F.col("query_id") == F.col("_query")).drop("_query")
+    return counted.withColumn("has_more", F.col("total") > last)
+
+
 def page(ranked_df: DataFrame, offset: int, limit: int) -> DataFrame:
     """One page of ranked results, with whether more follow."""
     last = F.lit(offset + limit)

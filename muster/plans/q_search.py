@@ -250,4 +250,4 @@ def o1(spark, folder):
        roster_sql() + f""" SELECT query_id, id, rank, total, total > 80 AS has_more
 FROM (SELECT query_id, id, {RANK_SQL} FROM gated) WHERE rank > 40 AND rank <= 80""")
 def o2(spark, folder):
-    return search.page(r4(spark, folder), search.PAGE_SEARCH, search.PAGE_SEARCH)
+    return search.search_roster_page(keyed_roster(spark, folder), query_rows(spark), search.PAGE_SEARCH, search.PAGE_SEARCH)

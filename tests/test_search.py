@@ -4,7 +4,7 @@ import naive
 import pytest
 from pyspark.sql import functions as F
 
-from muster.operators import search
+from muster.operators import ordering, search
 from muster.operators.timetable import slots
 
 WORDS = ["سعاده", "سعادة", "مصباح", "مصابيح", "نافذة", "قنديل", "قنديلى", "أرجوان", "ارجوان", "طاولة", "عبد النور", "كتاب"]
@@ -103,3 +103,17 @@ def test_results_do_not_depend_on_broadcasts(spark, found, monkeypatch):
     for query_id, query, grade, section in asked:
         mine = [(r.id, r.score) for r in sorted((r for r in rows if r.query_id == query_id), key=lambda r: r["rank"])]
         assert mine == naive.search(same, query, grade, section), query
+
+
+def test_a_page_is_cut_before_the_shuffle_and_equals_the_ranking(spark):
+    found = spark.range(5000).select((F.col("id") % 3).alias("query_id"), F.col("id"), (F.col("id") * 7919 % 11).alias("score")).repartition(6)
+    order = [F.col("score").desc(), F.col("id")]
+    page = search.best_page(found, order, 40, 40)
+    whole = search.page(ordering.ranked(found, ["query_id"], [-F.col("score")], [F.col("id")], total="total"), 40, 40)
+    assert sorted(map(tuple, page.select("query_id", "id", "rank", "total", "has_more").collect())) == sorted(
+        map(tuple, whole.select("query_id", "id", "rank", "total", "has_more").collect())
+    )
+    plan = page._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    late = search.best_page(found, order, 1640, 40)
+    assert late.count() == 80 and late.filter("has_more").isEmpty()

@@ -38,6 +38,8 @@ def test_osa_distance_equals_the_plain_statement(spark):
     rng = random.Random(2)
     words = random_texts(60, 3, "abcd", 8)
     pairs = [(rng.choice(words), rng.choice(words)) for _ in range(500)] + [("", "ab"), ("ab", ""), ("", ""), ("ca", "abc")]
+    long = [w for w in random_texts(160, 8, "abcé😀", 90) if len(w) > 50]  # about the width of the bit vectors and beyond
+    pairs += [(rng.choice(long), rng.choice(long)) for _ in range(60)]
     df = spark.createDataFrame(pairs, "a string, b string")
     for row in df.select("a", "b", scoring.osa_distance(F.col("a"), F.col("b")).alias("d")).collect():
         assert row.d == naive.osa(row.a, row.b), row
