@@ -16,7 +16,8 @@ sets with so many empty signatures that this does not follow give out the empty
    gives n - 1 pairs. Pairs that sizes and a parity sketch of the elements do not rule out are verified over
    the whole sets, one row per pair, and components are built of the links found.
 3. A signature may still hold documents of different components. While such groups are crowded, those outside
-   of a group's main component are compared with its most linked member, which joins families of near copies.
+   of a group's main component are compared with its most linked member, up to ``HUBS`` such members a round, which joins
+   families of near copies.
 4. Documents that share a signature but are in different components after that meet by signature, across
    components only, under the same filters and the same verification; what they link is joined to the
    components. So no link is lost, and within a component no more pairs are made.
@@ -39,6 +40,7 @@ from pyspark.sql import functions as F
 from muster.llm import flat
 from muster.llm.components import components
 from muster.llm.flat import mixed
+from muster.llm.pairs import confirmed
 from muster.llm.tables import bounded_batches, kept
 from muster.operators.sizing import sent_out
 
@@ -49,6 +51,8 @@ WIDE, SKETCH = 64, 8
 #: Hubs are tried while groups make over so many pairs per row.
 CROWDED = 8
 WORTH = 25
+#: Hubs not tried yet that a document is compared with in a round.
+HUBS = 3
 #: Documents of a batch meet in parts of about so many bytes of text.
 PART_BYTES = 4 << 20
 #: Rows of a slice; they fit the bits of an element that hold its text.
@@ -266,22 +270,6 @@ def _set_bytes(n: int) -> Callable[[Column], Column]:
     return set_bytes
 
 
-def _similar(num: int, den: int) -> Callable[..., Column]:
-    @F.arrow_udf("boolean")
-    def similar(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for a, b in zip(left, right):
-            x, y = np.frombuffer(a.as_py(), dtype=np.uint64), np.frombuffer(b.as_py(), dtype=np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
-            out.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
-        flat.give_back()
-        return pa.array(out, pa.bool_())
-
-    return similar
-
-
 def _could_be(num: int, den: int) -> Column:
     """Sizes and sketches of a pair that do not rule it out."""
     a, b = F.col("size_a"), F.col("size_b")
@@ -305,14 +293,11 @@ def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame, n: int, num: i
         pairs.join(left, F.col("a") == F.col("doc_a")).join(right, (F.col("b") == F.col("doc_b")) & _could_be(num, den))
         .where(apart * (den + num) <= (F.col("size_a") + F.col("size_b")) * (den - num)).select("a", "b")
     )
-    likely = kept(likely, "pairs")
-    ends = F.explode(F.array(F.struct(F.col("a").alias("doc"), F.lit(True).alias("first")), F.struct(F.col("b").alias("doc"), F.lit(False).alias("first"))))
-    asked = likely.select("a", "b", ends.alias("_e")).groupBy("_e.doc").agg(F.collect_list(F.struct("a", "b", "_e.first")).alias("pairs"))
-    sets = docs.join(sent_out(kept(asked, "asked")), docs["id"] == F.col("doc")).select(_set_bytes(n)(F.col("text")).alias("set"), F.explode("pairs").alias("p"))
-    pair = Window.partitionBy("a", "b").orderBy(F.col("first").desc())  # two rows: no group is larger
-    other = F.when(~F.lead("first").over(pair), F.lead("x").over(pair))
-    met = sets.select("p.a", "p.b", "p.first", F.col("set").alias("x")).withColumn("y", other)
-    return met.where("first AND y IS NOT NULL").where(_similar(num, den)("x", "y")).select("a", "b").distinct()
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        return docs.join(sent_out(asked), docs["id"] == F.col("node")).select("node", "n", _set_bytes(n)(F.col("text")).alias("set"))
+
+    return confirmed(likely, sets_of, num, den)
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
@@ -375,7 +360,7 @@ def join_components(
     links = kept(_verified(named, info, tried, n, num, den).union(copies), "links")
     roots = components(links)
 
-    open_, tested = members.select("signature", "doc"), tried
+    open_, tested, before = members.select("signature", "doc"), tried, None
     while True:
         open_ = kept(_open_groups(open_, info, roots, links), "open")
         rows, pairs = open_.agg(F.count(F.lit(1)), F.sum(F.when(F.col("root") != F.col("base"), F.col("members")))).first()
@@ -384,8 +369,11 @@ def join_components(
         # documents outside of a group's main component are compared with its hub, as long as that links many of them
         # and the groups still make far more pairs than they have rows
         hubs = open_.where("root != base").groupBy(F.col("doc").alias("b"), F.col("hub").alias("a")).agg(F.count(F.lit(1)).alias("n"))
-        hubs = hubs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-        new = kept(hubs.join(tested, ["a", "b"], "left_anti"), "hubs") if pairs > CROWDED * rows else None
+        hubs = hubs.join(_both_ways(tested).select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")), "left_anti")
+        hubs = hubs.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "a")), False), 1, HUBS).alias("_h"))  # one a signature at most
+        # a round that joined nothing is not followed by another one
+        new = kept(hubs.select(F.explode("_h.a").alias("a"), "b"), "hubs") if pairs > CROWDED * rows and (rows, pairs) != before else None
+        before = (rows, pairs)
         found = kept(_verified(named, info, new, n, num, den), "found") if new is not None else None
         last = found is None or found.count() * WORTH <= new.count()  # also where nothing is left to compare
         if last:

@@ -16,14 +16,14 @@ so long that it has none, the window's own hash stands in. Equal windows thus na
 3. the words covered by windows that a smaller document holds are taken out (``cut``).
 
 Whole texts are symbols too: a document equal to a smaller one is repeated as a whole and asks for no window.
-Texts are shuffled by id once, compressed, and Spark reuses that exchange in steps 2 and 3. Before each shuffle a part
+Texts are shuffled by id and hash once, compressed, and Spark reuses that exchange in steps 2 and 3. Before each shuffle a part
 of a batch settles among its own documents what it can: of many documents with a symbol or window one asks,
 and the others are answered at once, so a passage that a third of all documents share makes one row per part.
 What windows are compared grows with what is repeated, not with the corpus.
 
 Defined results: a null or empty text has no words, nothing is removed and its kept words are the empty string. A text
 shorter than ``width`` words keeps all of them. Repeats inside one document, or between rows with the same id,
-are left. A row with a null id is compared with nothing and kept. Texts of any length are taken whole. Only the
+are left; rows of one id are told apart by a hash of their texts and each loses its own repeats only. A row with a null id is compared with nothing and kept. Texts of any length are taken whole. Only the
 id and the text are read, so further columns cannot clash.
 """
 
@@ -190,8 +190,8 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(row, len(part))
 
 
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+def _ids(batch: pa.RecordBatch, column: int = 0) -> np.ndarray:
+    return batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -202,7 +202,7 @@ def _runs(values: np.ndarray) -> np.ndarray:
 
 
 def _asked_symbols(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(asked, symbol, doc, known): the least document of a part of a batch with a symbol asks for it; if the part has
+    """(asked, symbol, doc, print, known): the least document of a part of a batch with a symbol asks for it; if the part has
     more documents with it, all of them know that it is shared.
 
     A whole text of a window or more is a symbol too, whose second hash stands for the symbol; ``known`` is null.
@@ -211,6 +211,7 @@ def _asked_symbols(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
             ids, symbols, docs, wholes, seconds, owners = _ids(batch), [], [], [], [], []
+            prints, own_prints, owner_prints = _ids(batch, 2), [], []
             for row, part in flat.slices(batch.column(1)):
                 words = flat.words(part)
                 _, windows = _windows(words, width)
@@ -218,17 +219,19 @@ def _asked_symbols(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 wholes.append(_whole_hash(words, _STEP_A)[long])
                 seconds.append(_whole_hash(words, _STEP_B)[long])
                 owners.append(ids[row + long])
+                owner_prints.append(prints[row + long])
                 new = _runs(windows.symbol) | _runs(windows.text)
                 symbols.append(windows.symbol[new])
                 docs.append(ids[row + windows.text[new]])
+                own_prints.append(prints[row + windows.text[new]])
             if not symbols:
                 continue
-            symbol, doc = np.concatenate(symbols), np.concatenate(docs)
-            order = np.lexsort((doc, symbol))
-            symbol, doc = symbol[order], doc[order]
+            symbol, doc, own = np.concatenate(symbols), np.concatenate(docs), np.concatenate(own_prints)
+            order = np.lexsort((own, doc, symbol))
+            symbol, doc, own = symbol[order], doc[order], own[order]
             new = _runs(symbol)
-            distinct = new | _runs(doc)
-            symbol, doc, new = symbol[distinct], doc[distinct], new[distinct]
+            distinct = new | _runs(doc) | _runs(own)
+            symbol, doc, own, new = symbol[distinct], doc[distinct], own[distinct], new[distinct]
             alone = new.copy()
             alone[:-1] &= new[1:]  # the only document of its symbol
             asked = np.where(new, symbol, mixed(symbol + doc.astype(np.uint64) * _STEP_A))
@@ -236,10 +239,10 @@ def _asked_symbols(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate((asked, *wholes)).view(np.int64)), pa.array(np.concatenate((symbol, *seconds)).view(np.int64)),
-                    pa.array(np.concatenate((doc, owner))),
+                    pa.array(np.concatenate((doc, owner))), pa.array(np.concatenate((own, *owner_prints))),
                     pa.array(np.append(~alone, np.zeros(len(owner), bool)), mask=np.arange(len(doc) + len(owner)) >= len(doc)),
                 ],
-                names=["asked", "symbol", "doc", "known"],
+                names=["asked", "symbol", "doc", "print", "known"],
             )
             flat.give_back()
 
@@ -247,28 +250,28 @@ def _asked_symbols(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def shared_symbols(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, symbols, copy): the symbols of each document that another document also has, and whether the whole text
+    """(doc, print, symbols, copy): the symbols of each row that another document also has, and whether the whole text
     is that of a smaller document; of such a copy no symbols are needed."""
-    asked = docs.mapInArrow(_asked_symbols(width), "asked bigint, symbol bigint, doc bigint, known boolean")
+    asked = docs.mapInArrow(_asked_symbols(width), "asked bigint, symbol bigint, doc bigint, print bigint, known boolean")
     group = Window.partitionBy("asked", "symbol")
     least = asked.withColumn("_least", F.min("doc").over(group)).withColumn("_most", F.max("doc").over(group))
     copy = F.col("known").isNull() & (F.col("doc") > F.col("_least"))
     shared = least.where(F.col("known") | (F.col("known").isNotNull() & (F.col("_least") != F.col("_most"))) | copy)
-    return shared.groupBy("doc").agg(
+    return shared.groupBy("doc", "print").agg(
         F.collect_list(F.when(F.col("known").isNotNull(), F.col("symbol"))).alias("symbols"), F.max(F.col("known").isNull()).alias("copy")
     )
 
 
-def _span_rows(doc: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
-    """Sorted (doc, start) pairs as (doc, first start, number of starts in a row)."""
-    fresh = _runs(doc)
+def _span_rows(doc: np.ndarray, own: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """Sorted (doc, print, start) rows as (doc, print, first start, number of starts in a row)."""
+    fresh = _runs(doc) | _runs(own)
     fresh[1:] |= start[1:] != start[:-1] + 1
     first = np.flatnonzero(fresh)
-    return [doc[first], start[first], np.diff(np.append(first, len(doc)))]
+    return [doc[first], own[first], start[first], np.diff(np.append(first, len(doc)))]
 
 
 def _asked_windows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(window, rest, doc, known) of windows whose symbol is shared.
+    """(window, rest, doc, print, known) of windows whose symbol is shared.
 
     The least document of a batch with a window asks: ``rest`` has 32 further bits of the window's hash above
     its start. The others know that it is repeated: ``rest`` has the number of starts in a row above the first.
@@ -277,7 +280,7 @@ def _asked_windows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(_unpacked(batches)):
             ids, found, copies = _ids(batch), [], []
-            copy = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            copy, prints = batch.column(3).to_numpy(zero_copy_only=False).astype(bool), _ids(batch, 4)
             for row, part in flat.slices(batch.column(1)):
                 own = batch.column(2).slice(row, len(part))
                 sizes = np.diff(np.asarray(own.offsets))
@@ -285,7 +288,7 @@ def _asked_windows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 words = flat.words(part)
                 first, windows = _windows(words, width)
                 starts = np.diff(words.offsets)[copy[row : row + len(part)]] - width + 1
-                copies.append((ids[row : row + len(part)][copy[row : row + len(part)]], starts))
+                copies.append((*[x[row : row + len(part)][copy[row : row + len(part)]] for x in (ids, prints)], starts))
                 marked = mixed(keys + np.repeat(np.arange(len(part)), sizes).astype(np.uint64) * _STEP_A)
                 hit = np.isin(mixed(windows.symbol + windows.text.astype(np.uint64) * _STEP_A), marked)
                 hit &= ~copy[row + windows.text]
@@ -294,27 +297,29 @@ def _asked_windows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                     _window_hash(first.names, place, width, _STEP_A),
                     _window_hash(first.names, place, width, _STEP_B) >> np.uint64(32),
                     ids[row + windows.text[hit]],
+                    prints[row + windows.text[hit]],
                     windows.start[hit],
                 ))
             if not found:
                 continue
-            window, more, doc, start = (np.concatenate(x) for x in zip(*found))
+            window, more, doc, own, start = (np.concatenate(x) for x in zip(*found))
             order = np.lexsort((start, doc, more, window))
-            window, more, doc, start = window[order], more[order], doc[order], start[order]
+            window, more, doc, own, start = window[order], more[order], doc[order], own[order], start[order]
             new = _runs(window) | _runs(more)
             least = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))] if len(doc) else doc
             asks = doc == least
-            order = np.lexsort((start[~asks], doc[~asks]))
-            known, begin, times = _span_rows(doc[~asks][order], start[~asks][order])
-            whole, all_starts = (np.concatenate(x) for x in zip(*copies))
-            known, begin = np.concatenate((known, whole)), np.concatenate((begin, np.zeros(len(whole), np.int64)))
+            order = np.lexsort((start[~asks], own[~asks], doc[~asks]))
+            known, known_own, begin, times = _span_rows(doc[~asks][order], own[~asks][order], start[~asks][order])
+            whole, whole_own, all_starts = (np.concatenate(x) for x in zip(*copies))
+            known, known_own = np.concatenate((known, whole)), np.concatenate((known_own, whole_own))
+            begin = np.concatenate((begin, np.zeros(len(whole), np.int64)))
             times = np.concatenate((times, all_starts))
             rest = np.concatenate((more[asks].astype(np.int64) << 32 | start[asks], times << 32 | begin))
             key = np.concatenate((window[asks], mixed(known.astype(np.uint64) * _STEP_A + begin.astype(np.uint64))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(rest), pa.array(np.concatenate((doc[asks], known))),
-                 pa.array(np.arange(len(rest)) >= asks.sum())],
-                names=["window", "rest", "doc", "known"],
+                 pa.array(np.concatenate((own[asks], known_own))), pa.array(np.arange(len(rest)) >= asks.sum())],
+                names=["window", "rest", "doc", "print", "known"],
             )
             flat.give_back()
 
@@ -322,20 +327,21 @@ def _asked_windows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc, spans): the starts of the windows that a document with a smaller id also has.
+    """(doc, print, spans): the starts of the windows that a document with a smaller id also has.
 
-    ``docs`` has (id, text) and ``row``, a struct with the same text packed. A span is a 64-bit number, the number of starts in a row
+    ``docs`` has (id, text), ``print``, a hash that tells rows of one id apart, and ``row``, a struct with the same text packed. A span is a 64-bit number, the number of starts in a row
     above the first of them.
     """
-    shared = shared_symbols(docs.select("id", "text"), width)
-    texts = docs.select("id", "row")
-    joined = texts.join(shared.hint("shuffle_hash"), texts["id"] == shared["doc"]).select("id", "row", "symbols", "copy")
-    asked = joined.mapInArrow(_asked_windows(width), "window bigint, rest bigint, doc bigint, known boolean")
+    shared = shared_symbols(docs.select("id", "text", "print"), width)
+    texts = docs.select("id", "print", "row")
+    same = (texts["id"] == shared["doc"]) & (texts["print"] == shared["print"])
+    joined = texts.join(shared.hint("shuffle_hash"), same).select("id", "row", "symbols", "copy", texts["print"])
+    asked = joined.mapInArrow(_asked_windows(width), "window bigint, rest bigint, doc bigint, print bigint, known boolean")
     group = Window.partitionBy("window", F.when(F.col("known"), F.lit(-1)).otherwise(F.shiftrightunsigned("rest", 32)))
     later = asked.withColumn("_least", F.min("doc").over(group)).where("known OR doc > _least")
     one = F.expr("rest & 4294967295L") + F.lit(1 << 32)
     span = F.when(F.col("known"), F.col("rest")).otherwise(one)
-    return later.select("doc", span.alias("span")).groupBy("doc").agg(F.collect_list("span").alias("spans"))
+    return later.select("doc", "print", span.alias("span")).groupBy("doc", "print").agg(F.collect_list("span").alias("spans"))
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,11 +427,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     )
     more = [f"_carry{i}" for i in range(len(carry))]
     # what is carried travels in one column with the text, so that the shuffle of both steps is the same
-    slim = slim.select("id", "text", F.struct(_packed(F.col("text")).alias("packed"), *more).alias("row"))
+    slim = slim.select("id", "text", F.xxhash64("text").alias("print"), F.struct(_packed(F.col("text")).alias("packed"), *more).alias("row"))
     named = slim.where("id IS NOT NULL")
     spans = repeated_spans(named, width)
-    texts = named.select("id", "row")
-    cut = texts.join(spans.hint("shuffle_hash"), texts["id"] == spans["doc"], "left").select("id", "row", "spans")
+    texts = named.select("id", "print", "row")
+    same = (texts["id"] == spans["doc"]) & (texts["print"] == spans["print"])
+    cut = texts.join(spans.hint("shuffle_hash"), same, "left").select("id", "row", "spans")
     alone = slim.where("id IS NULL").select("id", "row", F.lit(None).cast("array<bigint>").alias("spans"))
     schema = ", ".join(
         ["id bigint, n_words bigint, n_removed bigint, kept_words string, kept_text string"]

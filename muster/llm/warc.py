@@ -20,6 +20,7 @@ Only the named columns are read, so further columns cannot clash.
 from __future__ import annotations
 
 import base64
+import contextlib
 import gzip
 import hashlib
 import html
@@ -27,6 +28,7 @@ import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,15 +45,16 @@ DERIVED = (
 )
 DATE = "2024-01-01T00:00:00Z"
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _BREAK = re.compile(
     r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|"
-    r"section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", re.I
+    r"section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^<>]*>", re.I
 )
-_TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
+# a tag ends at its > and holds no <, so that pages of unclosed tags are read in one pass
+_TAG = re.compile(r"<[/!?a-zA-Z][^<>]*>")
 _BLANKS, _LINES = re.compile(r"[^\S\n]+"), re.compile(r"[^\S\n]*\n\s*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_LINK = re.compile(r"""<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^<>]*>", re.I), re.compile(r"</title\s*>", re.I)
+_LINK = re.compile(r"""<a\b[^<>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
@@ -69,7 +72,8 @@ def plain_text(page: str) -> str:
 def title_and_links(page: str) -> tuple[str, list[str]]:
     visible = _HIDDEN.sub("", page)
     found = _TITLE.search(visible)
-    title = " ".join(html.unescape(found[1]).split()) if found else ""
+    end = _TITLE_END.search(visible, found.end()) if found else None
+    title = " ".join(html.unescape(visible[found.end() : end.start()]).split()) if found and end else ""
     return title, [html.unescape(a or b or c) for a, b, c in _LINK.findall(visible)]
 
 
@@ -92,7 +96,7 @@ def decoded(body: bytes, content_type: str) -> str:
     charset = _CHARSET.search(content_type)
     try:
         return body.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
+    except (LookupError, UnicodeError):  # unknown, or a codec that does not decode pages
         return body.decode("utf-8", "replace")
 
 
@@ -204,9 +208,24 @@ def serialized(derived: DataFrame) -> DataFrame:
     return derived.withColumn("record", pack(whole))
 
 
+def _unzipped(data: bytes) -> bytes:
+    """All of the members of a file, as far as they can be read."""
+    out = []
+    with contextlib.suppress(EOFError, OSError, zlib.error), gzip.GzipFile(fileobj=io.BytesIO(data)) as stream:
+        while part := stream.read1(1 << 20):
+            out.append(part)
+    return b"".join(out)
+
+
 def parsed_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of the records of a file, compressed or not."""
-    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    """(headers, block) of the records of a file, compressed or not.
+
+    A file that breaks off gives its whole records and what is there of the last block; a length that is no number counts as 0.
+    """
+    if data[:2] == b"\x1f\x8b":
+        stream = io.BytesIO(_unzipped(data))
+    else:
+        stream = io.BytesIO(data)
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -214,7 +233,8 @@ def parsed_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         while (line := stream.readline().rstrip(b"\r\n")):
             name, _, value = line.decode("utf-8", "replace").partition(":")
             headers[name.strip()] = value.strip()
-        yield headers, stream.read(int(headers.get("Content-Length", "0")))
+        length = headers.get("Content-Length", "0")
+        yield headers, stream.read(int(length) if re.fullmatch("[0-9]{1,18}", length) else 0)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

@@ -76,6 +76,15 @@ def test_dedup_without_rows_ids_or_texts(spark):
     assert [(r["n_words"], r["kept_words"], r["kept_text"]) for r in rows if r["doc_id"] == 8] == [(0, "", None)]
 
 
+@pytest.mark.parametrize("third", ["x y z", " ".join(f"u{i}" for i in range(60))])
+def test_rows_of_one_id_lose_their_own_repeats_only(spark, third):
+    text = " ".join(f"v{i}" for i in range(60))
+    rows = substring.dedup(frame(spark, [(1, text), (2, text), (2, third), (2, "q " + text + " r"), (3, third)])).collect()
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_words"]) for r in rows)
+    again = third if len(third) < 13 else ""
+    assert got == sorted([(1, 60, 0, text), (2, 60, 60, ""), (2, len(third.split()), 0, third), (2, 62, 60, "q r"), (3, len(third.split()), 0 if again else len(third.split()), again)])
+
+
 def test_dedup_of_a_very_long_text(spark):
     rng = random.Random(5)
     own = [f"t{rng.randrange(50_000)}" for _ in range(400_000)]

@@ -294,3 +294,29 @@ def test_bodies_that_are_no_text():
     assert rows[1][-1] == "" and '"length": 12' in rows[0][-1]
     latin = warc.derived_records(None, None, None, {}, "HTTP/1.1 200 OK\r\nContent-Type: text/plain; charset=latin-1\r\n\r\n é <b>".encode("latin-1"))
     assert latin[1][-1] == "é <b>"
+
+
+def test_pages_with_odd_charsets_and_unclosed_tags():
+    import time
+
+    for charset in ("undefined", "idna", "no-such", "utf-16"):
+        assert isinstance(warc.decoded(b"a\x80b", f"text/html; charset={charset}"), str)
+    start = time.time()
+    for piece in ("<a ", "<title>", "<script ", "<div ", "<!--", "<a href='x ", "</script "):
+        page = piece * (1_000_000 // len(piece))
+        warc.title_and_links(page)
+        warc.plain_text(page)
+    assert time.time() - start < 20
+    assert warc.title_and_links("<title>A &amp; B</title><a href='u'>x</a>") == ("A & B", ["u"])
+
+
+def test_broken_archive_files_give_what_they_hold():
+    import gzip
+
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    odd = b"WARC/1.1\r\nContent-Length: many\r\n\r\n\r\n\r\n"
+    assert [b for _, b in warc.parsed_records(one + odd + one)] == [b"hello", b"", b"hello"]
+    assert [b for _, b in warc.parsed_records(one + one[:-7])] == [b"hello", b"he"]
+    packed = gzip.compress(one) + gzip.compress(one)
+    assert [b for _, b in warc.parsed_records(packed)] == [b"hello", b"hello"]
+    assert [b for _, b in warc.parsed_records(packed[:-12])][:1] == [b"hello"]
