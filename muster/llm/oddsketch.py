@@ -44,7 +44,7 @@ BANDS, DEPTH = 32, 5
 #: Bins of a sample, and 64-bit words of its sketch.
 BINS, WORDS = 2048, 32
 #: Standard deviations that a candidate's sample may be off.
-SURE = 5
+SURE = 4
 #: Hubs that a class is compared with in a round.
 HUBS = 3
 #: Another round with hubs pays while one in so many of its comparisons links.
