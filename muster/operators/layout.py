@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.operators.ordering import bounds, neighbour
-from muster.operators.sizing import sent_out
+from muster.operators.sizing import sent_out, settled
 
 # Horizontal bounds of the eight periods on a page, and the least overlap that counts.
 PERIOD_BOUNDS = (
@@ -86,7 +86,7 @@ def unallocated(
     y: tuple[str, str, str] = ("y", "y0", "y1"), x: tuple[str, str] = ("x", "x0"),
 ) -> DataFrame:
     """Words right of the left edge and within the height of the cells of their page that no cell took."""
-    extent = cells.groupBy(page).agg(F.min(y[1]).alias("_top"), F.max(y[2]).alias("_bottom"), F.min(x[1]).alias("_left"))
+    extent = settled(cells.groupBy(page).agg(F.min(y[1]).alias("_top"), F.max(y[2]).alias("_bottom"), F.min(x[1]).alias("_left")))
     high = (F.col(y[0]) > F.col("_top")) & (F.col(y[0]) < F.col("_bottom"))
     inside = words.join(sent_out(extent), page).filter(high & (F.col(x[0]) > F.col("_left")))
     return inside.select(*words.columns).join(assigned.select(word).distinct(), word, "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from muster.functions import text
 from muster.functions.posts import CATEGORY_RULES, DEFAULT_CATEGORY
 from muster.operators.ordering import ranked
-from muster.operators.sizing import sent_out
+from muster.operators.sizing import sent_out, settled
 from muster.operators.timetable import DAYS, PERIODS, slots
 
 # The closed category domain and the form of cached media paths.
@@ -60,7 +60,7 @@ def double_booked(blocks: DataFrame, entity: str) -> DataFrame:
 
 def double_booked_with(blocks: DataFrame, entity: str, page: str) -> DataFrame:
     """The same, with each contributing page in a row of its own and how often it contributes."""
-    per_page = slots(blocks).groupBy(entity, "day_index", "period", page).agg(F.count(F.lit(1)).alias("lessons"))
+    per_page = settled(slots(blocks).groupBy(entity, "day_index", "period", page).agg(F.count(F.lit(1)).alias("lessons")))
     per_slot = per_page.groupBy(entity, "day_index", "period").agg(F.sum("lessons").alias("n")).filter(F.col("n") > 1)
     return per_page.join(sent_out(per_slot), [entity, "day_index", "period"])
 

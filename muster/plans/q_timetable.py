@@ -122,6 +122,17 @@ def j7(spark, folder):
     return timetable.slot_map(sparse(blocks_a(spark, folder), 3, 1), 3, 1, ROW_ORDER, ["subject", "owner"])
 
 
+@query("j7_school_map", "class_code string, subject string, label string", with_views("blocks_a") + f""", classes AS (SELECT DISTINCT class_code, grade FROM blocks_a),
+first AS (SELECT class_code, grade, arg_min({{'subject': subject, 'owner': owner}}, ROW({ROW_ORDER_SQL})) AS f FROM blocks_a
+  WHERE day_index = 3 AND 1 BETWEEN period_start AND period_end AND l_orderkey % 97 = 0 GROUP BY class_code, grade),
+seen AS (SELECT class_code, grade, f.subject AS subject, 'owner' || f.owner AS label, coalesce(' ' || f.subject, '') || coalesce(' owner' || f.owner, '') AS lesson
+  FROM classes LEFT JOIN first USING (class_code, grade)),
+hay AS (SELECT class_code, subject, label, {SLOT_HAYSTACK_SQL} AS h FROM seen WHERE grade = 6)
+SELECT class_code, subject, label FROM hay WHERE contains(h, '6/1')""")
+def j7_school_map(spark, folder):
+    return filters.school_map(sparse(text_blocks(spark, folder), 3, 1), 3, 1, ["subject", "label"], ROW_ORDER, "٦/1", only_grade=6)
+
+
 # Classes of grade and owner digit, so that the week has gaps.
 GAP_SQL = "gaps AS (SELECT * REPLACE (class_code || '-' || (owner % 9) || subject AS class_code) FROM slots_a)"
 
