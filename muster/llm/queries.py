@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.llm import bm25, bpe_count, centroids, chat, jaccard, langid, merkle, mixing, oddsketch, packing, quality, substring, warc
-from muster.llm.tables import documents, kept
+from muster.llm.tables import documents
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -64,24 +64,13 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op5_bm25_whole_text", bm25.WHOLE_SQL)
+@query("op5_bm25_whole_text", bm25.SQL)
 def op5_bm25_whole_text(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best documents for every twentieth document, asked by all terms of its whole text, against all documents."""
     docs = documents(spark, folder)
-    shards = bm25.build_shards(docs)
-    df, n, average = bm25.frequencies(shards)
-    found = bm25.search_whole(shards, bm25.whole_queries(docs.where("doc_id % 20 = 0"), df, n), average)
-    return found.select(F.col("query").alias("query_id"), F.col("doc").alias("doc_id"), F.col("rank").cast("bigint").alias("rank"), "score")
-
-
-@query("op5_bm25_topk", bm25.SQL)
-def op5_bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """The ten best documents for every twentieth document, asked by its telling terms, against all documents."""
-    docs = documents(spark, folder)
     index = bm25.build_index(docs)
-    n, average = bm25.statistics(index)
-    asked = kept(bm25.term_queries(docs.where("doc_id % 20 = 0"), index, n), "queries")
-    found = bm25.search(index, asked, average)
+    df, n, average = bm25.frequencies(index)
+    found = bm25.search(index, bm25.whole_queries(docs.where("doc_id % 20 = 0"), df, n), average)
     return found.select(F.col("query").alias("query_id"), F.col("doc").alias("doc_id"), F.col("rank").cast("bigint").alias("rank"), "score")
 
 

@@ -56,23 +56,3 @@ def jaccard_components(docs, n, num, den):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return {i: (len(sets[i]), find(i)) for i in ids}
-
-
-def bm25(docs, queries, k=10, terms=16, common=2):
-    counts = [(i, collections.Counter(words((text or "").translate(LOWER)))) for i, text in docs]
-    n, average = len(counts), sum(sum(c.values()) for _, c in counts) / max(len(counts), 1)
-    df = collections.Counter(w for _, c in counts for w in c)
-    idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
-    out = []
-    for q, text in queries:
-        own = collections.Counter(words((text or "").translate(LOWER)))
-        asked = sorted((w for w in own if 1 < df[w] and df[w] * common <= max(n, 2 * common)), key=lambda w: (-(1 + math.log(own[w])) * idf[w], w.encode()))[:terms]
-        found = []
-        for i, c in counts:
-            score = sum(
-                math.floor(1e6 * idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / average)) + 0.5) for w in asked if w in c
-            )
-            if any(w in c for w in asked):
-                found.append((-score, i))
-        out += [(q, i, rank, -s) for rank, (s, i) in enumerate(sorted(found)[:k], 1)]
-    return out
