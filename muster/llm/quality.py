@@ -28,9 +28,8 @@ from muster.llm.tables import WORD, kept
 BASE_WORDS = 50
 BASE_REPEATED = 50  # per cent
 LEAST = 200
-REACH = 3
-#: Measures in integers, each with the least distance of its fence from the quartile.
-SLACK = {"word_length": 150, "symbols": 200, "dup_lines": 450, "repeated": 450}
+REACH = 5
+MEASURES = ("word_length", "symbols", "dup_lines", "repeated")
 _BITS = 6
 
 
@@ -112,6 +111,11 @@ def _cell(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, rest), rest)
 
 
+def _last_of(cell: Column) -> Column:
+    """The greatest value that falls into a cell."""
+    return cell + F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(F.length(F.bin(cell)) - _BITS, F.lit(0))) - 1
+
+
 def sketch(stats: DataFrame) -> DataFrame:
     """(lang, source, measure, cell, n) over the documents that pass the base rules."""
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), _cell(value).alias("cell")) for name, value in _measures().items()]))
@@ -134,20 +138,21 @@ def thresholds(sketches: DataFrame) -> DataFrame:
     )
     group = Window.partitionBy("level", "at", "measure")
     ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("cell"))).withColumn("total", F.sum("n").over(group))
-    quartiles = ranked.groupBy("level", "at", "measure").agg(
+    tenths = ranked.groupBy("level", "at", "measure").agg(
         F.max("total").alias("total"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("cell"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("cell"))).alias("q3"),
+        F.min(F.when(F.col("upto") * 10 >= F.col("total"), F.col("cell"))).alias("low"),
+        F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("cell"))).alias("middle"),
+        F.min(F.when(F.col("upto") * 10 >= F.col("total") * 9, _last_of(F.col("cell")))).alias("high"),
     )
-    slack = F.element_at(F.create_map(*[F.lit(x) for pair in SLACK.items() for x in pair]), F.col("measure"))
-    reach = F.greatest(F.lit(REACH) * (F.col("q3") - F.col("q1")), slack)
-    fences = quartiles.groupBy("level", "at").agg(
+    below = F.col("low") - REACH * (_last_of(F.col("middle")) - F.col("low"))
+    above = F.col("high") + REACH * (F.col("high") - F.col("middle"))
+    fences = tenths.groupBy("level", "at").agg(
         F.max("total").alias("total"),
-        *[F.max(F.when(F.col("measure") == m, F.col("q1") - reach)).alias(f"{m}_low") for m in SLACK],
-        *[F.max(F.when(F.col("measure") == m, F.col("q3") + reach)).alias(f"{m}_high") for m in SLACK],
+        *[F.max(F.when(F.col("measure") == m, below)).alias(f"{m}_low") for m in MEASURES],
+        *[F.max(F.when(F.col("measure") == m, above)).alias(f"{m}_high") for m in MEASURES],
     )
     asked = sketches.select("lang", "source").distinct().select("lang", "source", levels.alias("_v"))
-    names = [f"{m}_{end}" for m in SLACK for end in ("low", "high")]
+    names = [f"{m}_{end}" for m in MEASURES for end in ("low", "high")]
     enough = (F.col("f.total") >= LEAST) | (F.col("f.level") == 2)
     return (
         asked.alias("a").join(fences.alias("f"), (F.col("a._v.level") == F.col("f.level")) & (F.col("a._v.at") == F.col("f.at")))
@@ -206,17 +211,20 @@ WITH w AS (
 ), ranked AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY cell) AS upto,
     sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM counted
-), quartiles AS (
-  SELECT level, lang, source, measure, max(total) AS total, min(CASE WHEN upto * 4 >= total THEN cell END) AS q1,
-    min(CASE WHEN upto * 4 >= total * 3 THEN cell END) AS q3 FROM ranked GROUP BY level, lang, source, measure
+), ends AS (
+  SELECT *, cell + CASE WHEN cell < 64 THEN 0 ELSE (CAST(2 AS BIGINT) ** (length(bin(cell)) - 6))::BIGINT - 1 END AS last FROM ranked
+), tenths AS (
+  SELECT level, lang, source, measure, max(total) AS total, min(CASE WHEN upto * 10 >= total THEN cell END) AS low,
+    min(CASE WHEN upto * 2 >= total THEN cell END) AS middle, min(CASE WHEN upto * 2 >= total THEN last END) AS middle_last,
+    min(CASE WHEN upto * 10 >= total * 9 THEN last END) AS high FROM ends GROUP BY level, lang, source, measure
 ), fences AS (
   SELECT level, lang, source, max(total) AS total,
-    max(CASE WHEN measure = 'word_length' THEN q1 - greatest(3 * (q3 - q1), 150) END) AS wl_low,
-    max(CASE WHEN measure = 'word_length' THEN q3 + greatest(3 * (q3 - q1), 150) END) AS wl_high,
-    max(CASE WHEN measure = 'symbols' THEN q3 + greatest(3 * (q3 - q1), 200) END) AS sy_high,
-    max(CASE WHEN measure = 'dup_lines' THEN q3 + greatest(3 * (q3 - q1), 450) END) AS dl_high,
-    max(CASE WHEN measure = 'repeated' THEN q3 + greatest(3 * (q3 - q1), 450) END) AS re_high
-  FROM quartiles GROUP BY level, lang, source
+    max(CASE WHEN measure = 'word_length' THEN low - 5 * (middle_last - low) END) AS wl_low,
+    max(CASE WHEN measure = 'word_length' THEN high + 5 * (high - middle) END) AS wl_high,
+    max(CASE WHEN measure = 'symbols' THEN high + 5 * (high - middle) END) AS sy_high,
+    max(CASE WHEN measure = 'dup_lines' THEN high + 5 * (high - middle) END) AS dl_high,
+    max(CASE WHEN measure = 'repeated' THEN high + 5 * (high - middle) END) AS re_high
+  FROM tenths GROUP BY level, lang, source
 ), joined AS (
   SELECT s.*, f.* EXCLUDE (lang, source), row_number() OVER (PARTITION BY s.doc_id ORDER BY f.level) AS best
   FROM stats s LEFT JOIN fences f ON (f.total >= 200 OR f.level = 2) AND (

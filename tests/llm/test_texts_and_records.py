@@ -205,6 +205,26 @@ def test_fences_follow_language_and_source(spark):
     assert (got[5000], got[5001], got[5002], got[5003]) == (False, True, False, True)
 
 
+def test_fences_of_every_measure_follow_the_spread_of_a_source(spark):
+    """Two sources with equal medians: what is usual in the wide one is out of bounds in the narrow one."""
+    rng = random.Random(3)
+
+    def row(i, source, length=500, symbols=0, dup=0, repeated=0):
+        return (i, False, 100, length, symbols, 100, dup, repeated, "l", source)
+
+    rows = []
+    for i in range(1000):
+        wide = i % 2 == 0
+        some = lambda most: rng.randint(0, most) if wide and rng.random() < 0.45 else 0
+        rows.append(row(i, "wide" if wide else "narrow", 500 + (rng.randint(-60, 60) if wide else rng.randint(-5, 5)), some(20), some(20), some(30)))
+    names = "doc_id bigint, base_failed boolean, n_words bigint, word_chars bigint, n_symbols bigint, n_lines bigint, n_dup_lines bigint, n_repeat_words bigint, lang string, source string"
+    fences = {r["source"]: r for r in quality.thresholds(quality.sketch(spark.createDataFrame(rows, names))).collect()}
+    for m in quality.MEASURES:
+        assert fences["wide"][f"{m}_high"] > 1.2 * fences["narrow"][f"{m}_high"]
+    assert fences["wide"]["word_length_low"] < fences["narrow"]["word_length_low"] < 500 < fences["narrow"]["word_length_high"]
+    assert fences["narrow"]["symbols_high"] == 0
+
+
 def test_sketches_merge_by_sums(spark):
     rows = [(i, i % 3 == 0, 100 + i, 500 + 7 * i, i % 5, 10, i % 2, i % 7, "l", "s") for i in range(400)]
     names = "doc_id bigint, base_failed boolean, n_words bigint, word_chars bigint, n_symbols bigint, n_lines bigint, n_dup_lines bigint, n_repeat_words bigint, lang string, source string"
