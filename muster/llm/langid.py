@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.llm import flat
-from muster.llm.tables import bounded_batches
+from muster.llm.tables import bounded_batches, kept
+from muster.operators.sizing import sent_out
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -34,6 +35,8 @@ MOST_LANGUAGES = 256
 TRAINING_TEXTS = 500_000
 SMOOTHING = 0.5
 UNKNOWN = "und"
+#: Bound of the likelihood of a language, in distances of its quartiles, and how many texts it takes to set one.
+REACH, LEAST_TEXTS = 10, 30
 _STEP = 1 << 19
 
 _is_letter: list[np.ndarray] = []
@@ -127,18 +130,27 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", training_t
 
 def scores(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """The best language of each text, -1 for none, and its posterior probability."""
+    return _scored(texts, model)[:2]
+
+
+def _scored(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``scores``, with the mean log probability of a text's n-grams, each in the language that knows it best, and how many they are."""
     n = len(texts)
-    best, score = np.full(n, -1), np.zeros(n)
+    best, score, likelihood, grams = np.full(n, -1), np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64)
     if not model.languages:
-        return best, score
+        return best, score, likelihood, grams
+    known = model.weights.max(axis=0)
     for first, part in flat.slices(texts):
         sums = np.tile(model.prior, (len(part), 1))
         seen = np.zeros(len(part), dtype=bool)
+        total = np.zeros(len(part))
         for rows, buckets in _grams(part):
             if not len(rows):
                 continue
             starts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
             seen[rows[starts]] = True
+            grams[first + rows[starts]] += np.diff(np.append(starts, len(rows)))
+            total[rows[starts]] += np.add.reduceat(known.take(buckets), starts)
             # the n-grams of a step by row and bucket are the sparse matrix; its product with a column of the
             # weights is a sum of their entries by row
             for at, column in enumerate(model.weights):
@@ -148,26 +160,52 @@ def scores(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
         span = slice(first, first + len(part))
         best[span] = np.where(seen, top, -1)
         score[span] = np.where(seen, odds.max(axis=1) / odds.sum(axis=1), 0.0)
-    return best, score
+        likelihood[span] = total / np.maximum(grams[span], 1)
+    return best, score, likelihood, grams
 
 
 def predicted(model: Model, spark, text: Column) -> Column:
-    """A struct (lang_pred, score) for a text column; the model is sent to the executors once."""
+    """A struct (lang_pred, score, likelihood, grams) for a text column; the model is sent to the executors once."""
     sent = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @F.arrow_udf("struct<lang_pred: string, score: double, likelihood: double, grams: bigint>")
     def predict_batch(texts: pa.Array) -> pa.Array:
         own = sent.value
-        best, score = scores(texts, own)
+        best, *numbers = _scored(texts, own)
         flat.give_back()
         names = pa.array([*own.languages, UNKNOWN], pa.string())
-        return pa.StructArray.from_arrays([names.take(pa.array(best % len(names))), pa.array(score)], names=["lang_pred", "score"])
+        return pa.StructArray.from_arrays(
+            [names.take(pa.array(best % len(names))), *map(pa.array, numbers)], names=["lang_pred", "score", "likelihood", "grams"]
+        )
 
     return predict_batch(text)
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``df`` with ``lang_pred`` and ``score``."""
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")]
-    told = df.select(*kept, predicted(model, df.sparkSession, F.col(text)).alias("_told"))
+    own = [F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")]
+    told = df.select(*own, predicted(model, df.sparkSession, F.col(text)).alias("_told"))
     return told.select(*[c for c in told.columns if c != "_told"], "_told.lang_pred", "_told.score")
+
+
+def known_texts(df: DataFrame, model: Model, text: str = "text", label: str = "lang") -> DataFrame:
+    """The rows whose text reads like the language it is told to be: all columns of ``df`` with ``lang_pred`` and ``score``.
+
+    A text of noise or of a language that nobody labelled still gets the language that fits least badly, with a score
+    near 1, as the probabilities of many n-grams are multiplied. Its mean log probability of an n-gram is low, though, in whatever
+    language knows the n-gram best, so that a text in two known languages is no noise. The lower bound of a language lies below the lower quartile of its rightly told, labelled texts by ``REACH`` times the distance of the
+    quartiles; for a text with fewer n-grams than their median that distance grows as the mean of few numbers varies. Equal
+    texts count once. A language with under ``LEAST_TEXTS`` such texts has no bound. Rows with ``und`` go, as do even votes.
+    """
+    own = [F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")]
+    told = kept(df.select(*own, F.col(label).alias("_label"), predicted(model, df.sparkSession, F.col(text)).alias("_told")), "told")
+    right = told.where("_label = _told.lang_pred AND _told.grams > 0").select("_told.lang_pred", "_told.likelihood", "_told.grams").distinct()
+    bounds = right.groupBy(F.col("lang_pred").alias("_of")).agg(
+        F.percentile_approx("likelihood", [0.25, 0.75], 10_000).alias("_q"), F.percentile_approx("grams", 0.5).alias("_n"), F.count(F.lit(1)).alias("_texts")
+    )
+    wider = F.greatest(F.lit(1.0), F.sqrt(F.col("_n") / F.col("_told.grams")))
+    least = F.col("_q")[0] - REACH * (F.col("_q")[1] - F.col("_q")[0]) * wider
+    fits = (F.coalesce("_texts", F.lit(0)) < LEAST_TEXTS) | (F.col("_told.likelihood") >= least)
+    found = told.join(sent_out(kept(bounds, "bounds")), F.col("_told.lang_pred") == F.col("_of"), "left")
+    found = found.where((F.col("_told.lang_pred") != UNKNOWN) & (F.col("_told.score") > 0.5) & fits)
+    return found.select(*own, "_told.lang_pred", "_told.score")

@@ -172,6 +172,21 @@ def test_packing_keeps_every_token_within_the_budget(spark):
     assert packing.pack(df.where("false")).collect() == []
 
 
+def test_noise_and_unlabelled_languages_are_not_known(spark):
+    rng = random.Random(4)
+    parts = {"en": "the ing and tion he re at".split(), "de": "sch ung der ein ü ge st".split()}
+    word = lambda lang: "".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 4)))
+    rows = [(i, " ".join(word(lang) for _ in range(rng.choice([3, 12, 60, 300]))), lang if i % 4 else None) for i in range(300) for lang in [rng.choice(["en", "de"])]]
+    rows += [(1000 + i, rows[1][1], rows[1][2]) for i in range(400)]  # copies do not narrow the bound
+    noise = ["".join(rng.choice("qxzjkvwpybf ") for _ in range(n)) for n in (80, 300, 2000)]
+    noise += [" ".join("".join(rng.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(n)) for n in (12, 100)]
+    rows += [(5000 + i, t, None) for i, t in enumerate([*noise, None, "", "12 ##"])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    told = langid.known_texts(df, langid.fit(df)).collect()
+    assert sorted(r["doc_id"] for r in told) == sorted(i for i, *_ in rows if i < 5000)
+    assert langid.known_texts(df.where("false"), langid.fit(df.where("false"))).collect() == []
+
+
 def test_quality_counts_equal_plain_counts(spark):
     rng = random.Random(7)
     texts = [None, "", "a b c", "a b c a b c", "x " * 300, "l1 a\nl1 a\n\n \nl2\nl1 a", "é# $% <a>", "\x0b\x0c"]
