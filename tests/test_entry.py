@@ -17,7 +17,7 @@ SAMPLE = [
     "j1_reconcile_slots", "j2_attribute_mismatches", "j6_occupancy_grid", "j10_assign_cells", "j13_nearest_match",
     "a7_weekly_lessons", "a8_block_counts", "a10_day_period_counts", "q10_dataset_digest", "q12_archive_rules", "s2_roster_from_cells",
     "t2_post_records", "u2_multiset_diff", "w1_sequence_breaks", "w4_status_changes", "o2_page",
-    "q13_audit_full_report", "j7_school_map", "j9_match_by_media", "c19_osa_distance", "q7_class_overlap", "j14_unallocated",
+    "q13_audit_full_report", "j7_school_map", "j9_match_by_media", "c19_osa_distance", "q7_class_overlap", "j14_unallocated", "j10_page_lessons",
 ]
 
 
