@@ -132,7 +132,17 @@ def metadata_mismatches(source: DataFrame, candidate: DataFrame, key: Sequence[s
 
 
 # A digest part is eight of the 64 hex digits, so sums of them stay exact in a decimal.
-_PARTS, _PART = 8, 8
+PARTS, _PART = 8, 8
+
+
+def hash_part(h: Column, i: int) -> Column:
+    """Part ``i`` of a hash in hex digits, as a number."""
+    return F.conv(F.substring(h, 1 + i * _PART, _PART), 16, 10).cast("decimal(20,0)")
+
+
+def digest_of(records: Column, sums: Sequence[Column]) -> Column:
+    """The digest of a number of rows and the sums of the parts of their hashes."""
+    return F.sha2(F.concat_ws("|", records.cast("string"), *[F.coalesce(s, F.lit(0)).cast("string") for s in sums]), 256)
 
 
 def dataset_digest(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -143,12 +153,8 @@ def dataset_digest(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     and need no order, so nothing is put in one place.
     """
     row = df.select(F.sha2(text.canonical_json(*fields), 256).alias("h"))
-    parts = [
-        F.sum(F.conv(F.substring("h", 1 + i * _PART, _PART), 16, 10).cast("decimal(20,0)")).alias(f"p{i}") for i in range(_PARTS)
-    ]
-    sums = row.agg(F.count(F.lit(1)).alias("records"), *parts)
-    joined = F.concat_ws("|", F.col("records").cast("string"), *[F.coalesce(F.col(f"p{i}"), F.lit(0)).cast("string") for i in range(_PARTS)])
-    return sums.select("records", F.sha2(joined, 256).alias("digest"))
+    sums = row.agg(F.count(F.lit(1)).alias("records"), *[F.sum(hash_part(F.col("h"), i)).alias(f"p{i}") for i in range(PARTS)])
+    return sums.select("records", digest_of(F.col("records"), [F.col(f"p{i}") for i in range(PARTS)]).alias("digest"))
 
 
 def summary(issues: Mapping[str, DataFrame]) -> DataFrame:

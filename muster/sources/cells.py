@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +60,26 @@ def formatting_issues(cells: DataFrame) -> DataFrame:
     """Where names have runs of blanks, as printed row numbers."""
     rows = sheet_rows(cells).filter(~is_blank() & text.has_space_run(F.col("name")))
     return rows.select("sheet", (F.col("row") + 1).alias("source_row"))
+
+
+def import_report_rows(cells: DataFrame, year: str) -> DataFrame:
+    """The whole import report as rows (part, name, grade, section, source_row, n), however many issues there are.
+
+    Parts are ``count`` (the counts of ``import_report`` by name), ``grade`` and ``class`` (records of each), and ``issue`` (sheet
+    and printed row of each name with a run of blanks). What a part has no use for is null.
+    """
+    roster = roster_from_cells(cells, year)
+    counts = import_report(cells)
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.coalesce(c, F.lit(0)).alias("n")) for c in counts.columns]))
+    classes = roster.groupBy("grade", "section").agg(F.count(F.lit(1)).alias("n"))
+    grades = classes.groupBy("grade").agg(F.sum("n").alias("n"))
+
+    def rows(df: DataFrame, part: str) -> DataFrame:
+        kinds = {"name": "string", "grade": "bigint", "section": "bigint", "source_row": "bigint", "n": "bigint"}
+        values = [(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()]
+        return df.select(F.lit(part).alias("part"), *values)
+
+    issues = formatting_issues(cells).withColumnRenamed("sheet", "name")
+    parts = {"count": counts.select(named.alias("_c")).select("_c.*"), "grade": grades, "class": classes, "issue": issues}
+    frames = [rows(df, part) for part, df in parts.items()]
+    return reduce(DataFrame.unionByName, frames)

@@ -18,6 +18,8 @@ SAMPLE = [
     "a7_weekly_lessons", "a8_block_counts", "a10_day_period_counts", "q10_dataset_digest", "q12_archive_rules", "s2_roster_from_cells",
     "t2_post_records", "u2_multiset_diff", "w1_sequence_breaks", "w4_status_changes", "o2_page",
     "q13_audit_full_report", "j7_school_map", "j9_match_by_media", "c19_osa_distance", "q7_class_overlap", "j14_unallocated", "j10_page_lessons",
+    "q10_differing_ranges", "q10_diff_in_ranges", "f5_text_filter_many", "s4_scan_files", "s3_snapshot_files", "s1_payload_metadata",
+    "s5_report_document", "a17_import_report_rows", "t3_archive_metadata",
 ]
 
 
