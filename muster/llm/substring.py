@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 
 from muster.llm import flat
 from muster.llm.flat import mixed
-from muster.llm.tables import bounded_batches
+from muster.llm.tables import bounded_batches, kept
+from muster.operators.sizing import sent_out
 
 WIDTH = 13
 #: Rounds of naming: runs, then pairs twice.
@@ -415,6 +416,13 @@ def _cut(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return cut
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """Adds ``print``: a hash of the text for rows that share their id, zero for all others, as zeros cost a shuffle nothing."""
+    twins = docs.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("_twin"))
+    met = docs.join(sent_out(kept(twins, "twins")), F.col("id") == F.col("_twin"), "left")
+    return met.withColumn("print", F.when(F.col("_twin").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("bigint"))).drop("_twin")
+
+
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, carry: Sequence[str] = ()) -> DataFrame:
     """(id, n_words, n_removed, kept_words, kept_text) of every document, and the columns named in ``carry``.
 
@@ -427,7 +435,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     )
     more = [f"_carry{i}" for i in range(len(carry))]
     # what is carried travels in one column with the text, so that the shuffle of both steps is the same
-    slim = slim.select("id", "text", F.xxhash64("text").alias("print"), F.struct(_packed(F.col("text")).alias("packed"), *more).alias("row"))
+    slim = _told_apart(slim).select("id", "text", "print", F.struct(_packed(F.col("text")).alias("packed"), *more).alias("row"))
     named = slim.where("id IS NOT NULL")
     spans = repeated_spans(named, width)
     texts = named.select("id", "print", "row")
