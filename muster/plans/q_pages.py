@@ -68,23 +68,23 @@ SELECT DISTINCT page, 'rowGeometry', day_index, NULL, NULL, NULL, NULL, NULL, NU
 def printed(spark, folder):
     """Words, rulings, days and periods of the printed pages."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    pages = lines.select(F.col("l_orderkey").alias("page")).distinct()
-    day, j = F.col("day_index"), F.col("j")
+    # dealt by page before a page becomes many rulings; the number keeps small shares, which grow later, apart
+    dealt = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    pages = dealt.select(F.col("l_orderkey").alias("page")).distinct()
+    day = F.col("day_index")
     days = pages.select("page", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("day_index")).withColumn("centre", 120.0 + 40 * day)
     periods = pages.select("page", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("period")).withColumn("centre", 60.0 + 80 * F.col("period"))
-    height = 100.0 + 40 * F.col("k")
     # every level ruling is drawn in two strokes that differ by less than a place
-    level = pages.select("page", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k")).select("page", F.explode(F.array(
-        F.struct(F.lit(60.0).alias("x0"), height.alias("y0"), F.lit(400.0).alias("x1"), height.alias("y1")),
-        F.struct(F.lit(400.0).alias("x0"), (height + 0.003).alias("y0"), F.lit(740.0).alias("x1"), (height + 0.003).alias("y1")),
-    )).alias("r")).select("page", "r.*")
-    at = 100.0 + 80 * j
-    long = pages.select("page", F.explode(F.array(*map(F.lit, (0, 3, 8)))).alias("j")).select(
-        "page", at.alias("x0"), F.lit(100.0).alias("y0"), at.alias("x1"), F.lit(300.0).alias("y1"))
-    short = days.select("page", "day_index", "centre", F.explode(F.array(*map(F.lit, (1, 2, 4, 5, 6, 7)))).alias("j")).where(
-        ((F.col("page") + 3 * day + j) % 4 != 0) & ~((F.col("page") % 13 == 5) & (day == 2))
-    ).select("page", at.alias("x0"), (F.col("centre") + 20).alias("y0"), at.alias("x1"), (F.col("centre") - 20).alias("y1"))
-    rulings = level.unionByName(long).unionByName(short)
+    def ruling(x0, y0, x1, y1):
+        return F.struct(*[(F.lit(v) if isinstance(v, float) else v).alias(c) for c, v in dict(x0=x0, y0=y0, x1=x1, y1=y1).items()])
+
+    level = [ruling(a, 100.0 + 40 * k + low, b, 100.0 + 40 * k + low) for k in range(6) for a, b, low in ((60.0, 400.0, 0.0), (400.0, 740.0, 0.003))]
+    long = [ruling(100.0 + 80 * n, 100.0, 100.0 + 80 * n, 300.0) for n in (0, 3, 8)]
+    short = [
+        F.when(((F.col("page") + 3 * d + n) % 4 != 0) & ~((F.col("page") % 13 == 5) & F.lit(d == 2)), ruling(100.0 + 80 * n, 140.0 + 40 * d, 100.0 + 80 * n, 100.0 + 40 * d))
+        for d in range(5) for n in (1, 2, 4, 5, 6, 7)
+    ]
+    rulings = pages.select("page", F.explode(F.array_compact(F.array(*level, *long, *short))).alias("r")).select("page", "r.*")
 
     part, supp, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     c, m = 140.0 + 80 * (part % 8), 120.0 + 40 * ((line - 1) % 5)

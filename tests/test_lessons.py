@@ -48,3 +48,18 @@ def test_room_notes_and_repeated_words(spark):
     words = [label(1, 20.0, "الخامس"), label(2, 20.0, "2", digits="2"), label(3, 20.0, "مادة", 9.0), label(3, 20.0, "مادة", 9.0)]
     got = page(spark, words, ruled(10, 30, 40, 50, 30))
     assert [(r.kind, r.class_code, r.subject) for r in got] == [("lesson", "5/2", "مادة مادة")]
+
+
+def test_tables_dealt_by_page_are_not_dealt_again(spark):
+    dealt = lambda rows, schema: spark.createDataFrame(rows, schema).repartition(5, "page")
+    got = lessons.page_lessons(
+        dealt([label(1, 20.0, "السابع"), label(2, 35.0, "stray")], WORDS), dealt(ruled(10, 30, 40, 50), "page bigint, x0 double, y0 double, x1 double, y1 double"),
+        dealt([(1, 0, 20.0), (1, 1, 50.0), (None, 2, 20.0)], "page bigint, day_index bigint, centre double"),
+        dealt([(1, 1, 15.0), (1, 2, 25.0)], "page bigint, period bigint, centre double"),
+    )
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # only the words are dealt once more, after Python has seen them; nothing is kept or sent out whole
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") + 1
+    assert "BroadcastExchange" not in plan
+    assert sorted((r.page or 0, r.kind, r.day_index or 0, r.word or 0) for r in got.collect()) == [
+        (0, "rowGeometry", 2, 0), (1, "incompleteCell", 0, 0), (1, "rowGeometry", 1, 0), (1, "unallocatedCellText", 0, 2)]
