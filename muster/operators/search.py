@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from muster.functions import scoring, text
 from muster.operators.ordering import BUCKET, ranked
-from muster.operators.sizing import sent_out, settled
+from muster.operators.sizing import sent_out, settled, spread
 
 GRAM = 3  # a record stands under all runs of 1 to GRAM letters
 PAGE_SEARCH, PAGE_BROWSE, PAGE_ARCHIVE = 40, 100, 12
@@ -133,7 +133,7 @@ def score(
     asked = settled(asked).select("*", *[F.col(q).alias(f"_f{i}") for i, q in enumerate(wanted)]).drop(*wanted)
     vocabulary = records.select(F.explode(scoring.tokens_of(F.col("soft"))).alias("word")).distinct()
     # the query keys are few: computed once, so that the many record keys meet them without a shuffle
-    pairs = record_keys(records, number).join(sent_out(settled(query_keys(asked, vocabulary))), "_key")
+    pairs = record_keys(spread(records), number).join(sent_out(settled(query_keys(asked, vocabulary))), "_key")
     pairs = pairs.filter(optional_match([(r, f"_f{i}") for i, (r, _) in enumerate(facets)]))
     value = scoring.record_score(
         _name_keys(""),

@@ -18,6 +18,14 @@ def sent_out(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over as many tasks as a shuffle has, for costly work on rows of few bytes.
+
+    Scans and adaptive shuffles are cut by bytes, so a narrow table of millions of rows may come as one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Computed once and kept in the shared work folder, where it outlives executors."""
     work_folder(df.sparkSession)
