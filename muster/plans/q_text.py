@@ -16,6 +16,7 @@ from muster.plans.views import (
     table,
     with_views,
 )
+from muster.operators.sizing import spread
 from muster.registry import query
 
 SPACE_SQL = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -306,7 +307,7 @@ def c18(spark, folder):
 def neighbours(spark, folder):
     left = roster(spark, folder).select("id", F.col("name").alias("a"))
     right = roster(spark, folder).select((F.col("id") - 1).alias("id"), F.col("name").alias("b"))
-    return left.join(right, "id")
+    return spread(left.join(right, "id"))
 
 
 NEIGHBOURS_SQL = "neighbours AS (SELECT l.id, l.name AS a, r.name AS b FROM roster_v l JOIN roster_v r ON r.id = l.id + 1)"
