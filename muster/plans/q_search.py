@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from muster.functions import scoring
 from muster.operators import search
+from muster.operators.sizing import settled
 from muster.plans.q_text import compact_sql, osa_rows_sql, primary_sql, soft_sql, token_score_sql
 from muster.plans.views import (
     QUERY_ROWS_AR,
@@ -118,7 +119,7 @@ def r2(spark, folder):
 @query("r3_direct_gate", "query_id bigint, id bigint, score bigint",
        roster_sql() + " SELECT query_id, id, score FROM gated WHERE has_query")
 def r3(spark, folder):
-    return search.direct_gate(r2(spark, folder))
+    return search.direct_gate(settled(r2(spark, folder)))  # the gate reads the matches twice
 
 
 @query("r4_search_roster", "query_id bigint, rank bigint, id bigint, score bigint, total bigint",

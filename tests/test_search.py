@@ -117,3 +117,25 @@ def test_a_page_is_cut_before_the_shuffle_and_equals_the_ranking(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
     late = search.best_page(found, order, 1640, 40)
     assert late.count() == 80 and late.filter("has_more").isEmpty()
+
+
+PARTS = "p_partkey bigint, p_name string, p_type string, p_size int"
+
+
+def test_work_on_a_small_file_is_spread(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    rows = [(i, f"{'small ring' if i % 2 else 'hot gear'}", "ECONOMY" if i % 3 else None, i % 4) for i in range(40)]
+    spark.createDataFrame(rows, PARTS).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = queries()["c19_osa_distance"](spark, str(tmp_path))
+    assert near.rdd.getNumPartitions() == parts and near.count() == 39
+    gated = queries()["r3_direct_gate"](spark, str(tmp_path))
+    plan = gated._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # the candidates are scored once, not once for the best and again for the rest
+    assert gated.where("query_id = 1").count() > 0
+    keyed = search.add_search_keys(spark.createDataFrame([(1, "small ring")], "id bigint, name string").coalesce(1), "name")
+    asked = spark.createDataFrame([(1, "small rnig")], "query_id bigint, query string")
+    scored = search.score(keyed, asked, "id")
+    assert f"RoundRobinPartitioning({parts})" in scored._jdf.queryExecution().executedPlan().toString()
+    assert [(r.query_id, r.id) for r in scored.collect()] == [(1, 1)]
