@@ -99,3 +99,15 @@ def test_a_batch_that_runs_again_after_a_compaction_finds_the_table_before_it(sp
             want |= {v % 5: v, 100 + v: v}
         assert before == want
     assert len(list((tmp_path / "t").iterdir())) < 14
+
+
+def test_files_are_written_by_all_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from muster.plans.q_sources import _files
+
+    rows = spark.createDataFrame([(i % 20, "x") for i in range(40)], "id long, html string").coalesce(1)
+    _files(rows, str(tmp_path / "files"), F.col("id"), F.col("html"))
+    written = [p for p in (tmp_path / "files").rglob("part-*")]
+    assert len(written) == 20 and {p.read_text() for p in written} == {"x\nx\n"}
+    assert len({p.name.split("-")[1] for p in written}) > 1  # the numbers of the tasks
