@@ -20,7 +20,9 @@ sets with so many empty signatures that this does not follow give out the empty
    families of near copies.
 4. Documents that share a signature but are in different components after that meet by signature, across
    components only, under the same filters and the same verification; what they link is joined to the
-   components. So no link is lost, and within a component no more pairs are made.
+   components. Such documents share many signatures, so pairs are made of one in ``FEW`` signatures first; documents list
+   their partners in these, and all signatures make the pairs that are not listed. So no link is lost, and within a
+   component no more pairs are made.
 
 Defined results: a null or empty text, or one without words, has no elements and links with nothing. A text with fewer
 words than n has its whole sequence of words as one element. A null id links with nothing; its
@@ -53,6 +55,10 @@ CROWDED = 8
 WORTH = 25
 #: Hubs not tried yet that a document is compared with in a round.
 HUBS = 3
+#: One in so many signatures finds most pairs across components, before all of them are looked at.
+FEW = 16
+#: Partners that a document lists.
+PARTNERS = 256
 #: Documents of a batch meet in parts of about so many bytes of text.
 PART_BYTES = 4 << 20
 #: Rows of a slice; they fit the bits of an element that hold its text.
@@ -324,15 +330,27 @@ def _open_groups(members: DataFrame, info: DataFrame, roots: DataFrame, links: D
     return at.join(groups, at["signature"] == groups["of_group"]).select("signature", "doc", "size", "root", "base", "hub", "members")
 
 
-def _across(open_: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of a signature in different components that nothing rules out; those of the base meet the others only."""
-    told = open_.select("signature", "doc", "root", "base").join(info.drop("wide"), "doc")
-    left, right = (_named(told, x, "signature", "doc", "root", "base", "size", *_BITS) for x in "ab")
-    met = (F.col("signature_a") == F.col("signature_b")) & (F.col("root_a") != F.col("root_b")) & _could_be(num, den)
-    return (
-        left.where("root_a != base_a").join(right, met)
-        .select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
-    )
+def _partners(pairs: DataFrame) -> DataFrame:
+    """(of, partners): up to ``PARTNERS`` documents that a document stands in a pair with; one of the two lists the other."""
+    first = F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 0
+    listed = pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("of"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("to"))
+    some = listed.groupBy("of", F.pmod(F.xxhash64("to"), F.lit(PARTNERS)).alias("_k")).agg(F.max("to").alias("to"))
+    return some.groupBy("of").agg(F.collect_list("to").alias("partners"))
+
+
+def _across(open_: DataFrame, info: DataFrame, num: int, den: int, seen: DataFrame | None = None) -> DataFrame:
+    """All pairs (a, b), a < b, of a signature in different components that nothing rules out, without most of those seen;
+    those of the base meet the others only. A pair comes once for each signature."""
+    told = open_.select("signature", "doc", "root", (F.col("root") != F.col("base")).alias("out")).join(info.drop("wide"), "doc")
+    columns = ["signature", "doc", "root", "out", "size", *_BITS]
+    # of two members outside of the base the lesser one is on the left
+    met = (F.col("signature_a") == F.col("signature_b")) & (F.col("root_a") != F.col("root_b")) & (~F.col("out_b") | (F.col("doc_a") < F.col("doc_b"))) & _could_be(num, den)
+    if seen is not None:
+        told, columns = told.join(_partners(seen), F.col("doc") == F.col("of"), "left"), [*columns, "partners"]
+        for x, y in ("ab", "ba"):
+            met &= ~F.coalesce(F.array_contains(f"partners_{x}", F.col(f"doc_{y}")), F.lit(False))
+    left, right = (_named(told, x, *columns) for x in "ab")
+    return left.where("out_a").join(right, met).select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
 
 
 def join_components(
@@ -377,7 +395,10 @@ def join_components(
         found = kept(_verified(named, info, new, n, num, den), "found") if new is not None else None
         last = found is None or found.count() * WORTH <= new.count()  # also where nothing is left to compare
         if last:
-            new = kept(_across(open_, info, num, den).join(_both_ways(tested), ["a", "b"], "left_anti"), "across")
+            # such documents share many signatures: a part of these finds most pairs, so that all of them make few rows more
+            few = kept(_across(open_.where(F.pmod(F.xxhash64("signature"), F.lit(FEW)) == 0), info, num, den).distinct(), "few")
+            new = few.union(_across(open_, info, num, den, few)).distinct()
+            new = kept(new.join(_both_ways(tested), ["a", "b"], "left_anti"), "across")
             found = kept(_verified(named, info, new, n, num, den), "found")
         links, tested = kept(links.union(found), "links"), tested.union(new)
         roots = components(links)

@@ -1,5 +1,6 @@
 """The n-gram join at the edges of its bands of sizes, and where hubs link no more."""
 
+import itertools
 import random
 
 import numpy as np
@@ -58,3 +59,27 @@ def test_join_ends_where_the_rest_of_a_family_was_already_compared_with_its_hub(
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == plain.jaccard_components(docs, 1, 60, 100)
     assert len(turns) == 2
+
+
+def test_pairs_that_were_seen_are_not_made_under_every_signature(spark):
+    open_ = spark.createDataFrame([(s, d, d, 1) for s in range(10) for d in range(1, 7)], "signature bigint, doc bigint, root bigint, base bigint")
+    bits = ", ".join(f"{b} bigint" for b in jaccard._BITS)
+    info = spark.createDataFrame([(d, 100, *[0] * jaccard.SKETCH, [0]) for d in range(1, 7)], f"doc bigint, size bigint, {bits}, wide array<bigint>")
+    pairs = sorted(itertools.combinations(range(1, 7), 2))
+    made = sorted((r["a"], r["b"]) for r in jaccard._across(open_, info, 85, 100).collect())
+    assert made == sorted(pairs * 10)  # not (a, b) and (b, a)
+    seen = spark.createDataFrame([p for p in pairs if p != (2, 5)], "a bigint, b bigint")
+    assert {(r["a"], r["b"]) for r in jaccard._across(open_, info, 85, 100, seen).collect()} >= {(2, 5)}
+    assert jaccard._across(open_, info, 85, 100, seen).count() <= 10 * 3  # few more where two partners share a place
+
+
+def test_pairs_are_found_however_few_signatures_are_looked_at_first(spark, monkeypatch):
+    rng = random.Random(4)
+    own = [f"b{i}" for i in range(60)]
+    docs = [(i + 1, " ".join(w if rng.random() > 0.12 else f"n{rng.randrange(10**6)}" for w in own)) for i in range(30)]
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for few, partners in ((1, 1), (1 << 40, 256)):
+        monkeypatch.setattr(jaccard, "FEW", few)
+        monkeypatch.setattr(jaccard, "PARTNERS", partners)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(rows, n=1, num=60, den=100).collect()}
+        assert got == plain.jaccard_components(docs, 1, 60, 100)
