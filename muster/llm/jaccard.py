@@ -43,8 +43,9 @@ from muster.llm import flat
 from muster.llm.components import components
 from muster.llm.flat import mixed
 from muster.llm.pairs import confirmed
-from muster.llm.tables import bounded_batches, kept
+from muster.llm.tables import bounded_batches, kept, released
 from muster.operators.sizing import sent_out
+from muster.session import fresh_path
 
 SHINGLE, NUM, DEN = 5, 4, 5
 PARTS = 3
@@ -357,7 +358,8 @@ def join_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE, num: int = NUM, den: int = DEN
 ) -> DataFrame:
     """(id, n_shingles, component_id) of every document; the component is the least id reachable by links."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     slim = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     named = slim.where("id IS NOT NULL")
     group = Window.partitionBy("asked")
@@ -366,8 +368,9 @@ def join_components(
         .withColumn("_least", F.min("doc").over(group)).withColumn("_times", F.count(F.lit(1)).over(group))
         .where((F.col("kind") != _ASKS) | (F.col("_times") > 1) | F.col("lead").isNotNull())
     )
+    large = [fresh_path(spark, "signatures")]  # of tables with a row for each signature of a document
     lead = F.when(F.col("kind") == _ASKS, F.col("_least")).otherwise(F.col("lead"))
-    table = kept(rows.select("kind", F.coalesce("signature", "asked").alias("signature"), "doc", lead.alias("lead"), "size", *_BITS, "wide"), "signatures")
+    table = kept(rows.select("kind", F.coalesce("signature", "asked").alias("signature"), "doc", lead.alias("lead"), "size", *_BITS, "wide"), "signatures", large[0])
     info = table.where(F.col("kind") == _SELF).groupBy("doc").agg(F.max_by(F.struct("size", *_BITS, "wide"), "size").alias("_i")).select("doc", "_i.*")
     info = kept(info, "sets")
     copies = table.where((F.col("kind") == _SELF) & F.col("lead").isNotNull()).select(F.col("lead").alias("a"), F.col("doc").alias("b"))
@@ -380,7 +383,8 @@ def join_components(
 
     open_, tested, before = members.select("signature", "doc"), tried, None
     while True:
-        open_ = kept(_open_groups(open_, info, roots, links), "open")
+        large.append(fresh_path(spark, "open"))
+        open_ = kept(_open_groups(open_, info, roots, links), "open", large[-1])
         rows, pairs = open_.agg(F.count(F.lit(1)), F.sum(F.when(F.col("root") != F.col("base"), F.col("members")))).first()
         if not rows:
             break
@@ -404,6 +408,7 @@ def join_components(
         roots = components(links)
         if last:
             break
+    released(spark, large)
     told = (
         info.join(roots, info["doc"] == roots["v"], "left")
         .select(F.col("doc").alias(doc_id), F.col("size").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))

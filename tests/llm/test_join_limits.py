@@ -2,12 +2,16 @@
 
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 import plain
 import pytest
+from pyspark.sql import functions as F
 
 from muster.llm import jaccard
+from muster.llm.tables import kept
+from muster.session import work_folder
 
 
 @pytest.mark.parametrize("num, den", [(85, 100), (4, 5), (3, 5)])
@@ -83,3 +87,17 @@ def test_pairs_are_found_however_few_signatures_are_looked_at_first(spark, monke
         monkeypatch.setattr(jaccard, "PARTNERS", partners)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(rows, n=1, num=60, den=100).collect()}
         assert got == plain.jaccard_components(docs, 1, 60, 100)
+
+
+def test_tables_of_signatures_and_files_of_shuffles_do_not_stay(spark):
+    folder = Path(work_folder(spark).removeprefix("file:"))
+    there = set(folder.iterdir())
+    rows = spark.createDataFrame([(i, " ".join(f"w{i // 4}_{k}" for k in range(40))) for i in range(40)], "doc_id bigint, text string").repartition(4)
+    found = jaccard.join_components(rows, n=4, num=85, den=100)
+    left = [p for p in set(folder.iterdir()) - there if p.name.startswith(("signatures-", "open-"))]
+    assert left and all(spark.read.schema("doc bigint").parquet(str(p)).isEmpty() for p in left)
+    assert {r["component_id"] for r in found.collect()} == set(range(0, 40, 4))
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = files.getAllFiles().size()
+    kept(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "k"), "counts")
+    assert files.getAllFiles().size() <= before
