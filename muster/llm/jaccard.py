@@ -19,10 +19,11 @@ sets with so many empty signatures that this does not follow give out the empty
    of a group's main component are compared with its most linked member, up to ``HUBS`` such members a round, which joins
    families of near copies.
 4. Documents that share a signature but are in different components after that meet by signature, across
-   components only, under the same filters and the same verification; what they link is joined to the
-   components. Such documents share many signatures, so pairs are made of one in ``FEW`` signatures first; documents list
-   their partners in these, and all signatures make the pairs that are not listed. So no link is lost, and within a
-   component no more pairs are made.
+   components only, under the same filters and a sketch as wide as their size asks for, which leaves few pairs that are not similar.
+   Signatures are looked at in passes, where they are crowded first one in ``FEW`` squared, then one in ``FEW``, then the rest; a pass
+   holds no more sketches than ``PASS_SKETCHES`` for each document. What a pass finds is joined to the components before the next one, so that
+   families, whose members share many signatures, make few pairs. Of more pairs than documents each document tries a few
+   at a time. So no link is lost, and within a component no more pairs are made.
 
 Defined results: a null or empty text, or one without words, has no elements and links with nothing. A text with fewer
 words than n has its whole sequence of words as one element. A null id links with nothing; its
@@ -56,8 +57,10 @@ CROWDED = 8
 WORTH = 25
 #: Hubs not tried yet that a document is compared with in a round.
 HUBS = 3
-#: One in so many signatures finds most pairs across components, before all of them are looked at.
+#: One in so many signatures joins most families, before all of them are looked at.
 FEW = 16
+#: Wide sketches for each document that a pass over signatures may send around, and elements for which the narrow sketch is sharp.
+PASS_SKETCHES, SHARP = 2, 700
 #: Partners that a document lists.
 PARTNERS = 256
 #: Documents of a batch meet in parts of about so many bytes of text.
@@ -339,11 +342,44 @@ def _partners(pairs: DataFrame) -> DataFrame:
     return some.groupBy("of").agg(F.collect_list("to").alias("partners"))
 
 
+def _width() -> Column:
+    """Numbers of the sketch that tells sets of a size apart."""
+    steps = F.when(F.col("size") <= SHARP, SKETCH)
+    width = 2 * SKETCH
+    while width < WIDE:
+        steps = steps.when(F.col("size") <= SHARP * width // SKETCH, width)
+        width *= 2
+    return steps.otherwise(WIDE)
+
+
+def _halves(sketch: Column) -> Column:
+    """A sketch folded to half of its width."""
+    half = (F.size(sketch) / 2).cast("int")
+    return F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
+def _sharp() -> Column:
+    """The wide sketch folded to the width of a set's size; null where that is the narrow one."""
+    folded, steps, width = F.col("wide"), F.when(F.lit(False), F.col("wide")), WIDE
+    while width > SKETCH:
+        steps, folded, width = steps.when(_width() == width, folded), _halves(folded), width // 2
+    return steps
+
+
+def _sharply_apart(num: int, den: int) -> Column:
+    """Whether the sharp sketches of a pair rule it out; where one has none they do not."""
+    a, b = F.col("sharp_a"), F.col("sharp_b")
+    like = lambda x, y: F.when(F.size(x) > F.size(y), _halves(x)).otherwise(x)
+    apart = F.aggregate(F.zip_with(like(a, b), like(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    return F.coalesce(apart * (den + num) > (F.col("size_a") + F.col("size_b")) * (den - num), F.lit(False))
+
+
 def _across(open_: DataFrame, info: DataFrame, num: int, den: int, seen: DataFrame | None = None) -> DataFrame:
     """All pairs (a, b), a < b, of a signature in different components that nothing rules out, without most of those seen;
     those of the base meet the others only. A pair comes once for each signature."""
-    told = open_.select("signature", "doc", "root", (F.col("root") != F.col("base")).alias("out")).join(info.drop("wide"), "doc")
-    columns = ["signature", "doc", "root", "out", "size", *_BITS]
+    told = open_.select("signature", "doc", "root", (F.col("root") != F.col("base")).alias("out"))
+    told = told.join(info.select("doc", "size", *_BITS, _sharp().alias("sharp")), "doc")
+    columns = ["signature", "doc", "root", "out", "size", *_BITS, "sharp"]
     # of two members outside of the base the lesser one is on the left
     met = (F.col("signature_a") == F.col("signature_b")) & (F.col("root_a") != F.col("root_b")) & (~F.col("out_b") | (F.col("doc_a") < F.col("doc_b"))) & _could_be(num, den)
     if seen is not None:
@@ -351,9 +387,59 @@ def _across(open_: DataFrame, info: DataFrame, num: int, den: int, seen: DataFra
         for x, y in ("ab", "ba"):
             met &= ~F.coalesce(F.array_contains(f"partners_{x}", F.col(f"doc_{y}")), F.lit(False))
     left, right = (_named(told, x, *columns) for x in "ab")
+    met &= ~_sharply_apart(num, den)
     return left.where("out_a").join(right, met).select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
 
 
+def _rooted(df: DataFrame, roots: DataFrame, of: str, to: str) -> DataFrame:
+    """Adds the root of a document; one without links is its own."""
+    at = roots.select(F.col("v").alias("_v"), F.col("root").alias("_root"))
+    return df.join(at, F.col(of) == F.col("_v"), "left").withColumn(to, F.coalesce("_root", of)).drop("_v", "_root")
+
+
+def _still_open(open_: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of those signatures that have several components now."""
+    now = _rooted(_rooted(open_.select("signature", "doc", F.col("base").alias("_base")), roots, "doc", "root"), roots, "_base", "base")
+    out = F.max(F.col("root") != F.col("base")).over(Window.partitionBy("signature"))
+    return now.withColumn("_out", out).where("_out").select("signature", "doc", "root", "base")
+
+
+def _passes(open_: DataFrame, documents: int, crowded: bool) -> list[Column]:
+    """Parts of the signatures that are looked at one after the other."""
+    few, fewer = (F.pmod(F.xxhash64("signature"), F.lit(min(n, 1 << 62))) == 0 for n in (FEW, FEW * FEW))
+    sent = open_.agg(F.sum(_width())).first()[0] or 0
+    parts = -(-sent // max(PASS_SKETCHES * WIDE * documents, 1))
+    of = F.pmod(F.xxhash64("signature", F.lit(1)), F.lit(max(parts, 1)))
+    rest = [of == i for i in range(max(parts, 1))]
+    return [fewer, few & ~fewer, *[~few & part for part in rest]] if crowded else rest
+
+
+def _linked_across(
+    docs: DataFrame, info: DataFrame, open_: DataFrame, links: DataFrame, roots: DataFrame, tested: DataFrame, crowded: bool, n: int, num: int, den: int
+) -> DataFrame:
+    """The roots when all similar pairs that share a signature are in one component."""
+    documents, seen = info.count(), None
+    for part in _passes(open_, documents, crowded):
+        made = _across(_still_open(open_.where(part), roots), info, num, den, seen).distinct()
+        left, share = kept(made.join(_both_ways(tested), ["a", "b"], "left_anti"), "across"), HUBS
+        while many := left.count():
+            # more pairs than documents: each document tries a few, and what they join needs no further ones
+            order = Window.partitionBy("b").orderBy(F.xxhash64("a", "b"))
+            some = left.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= share).select("a", "b")
+            new = left if many <= documents else kept(some, "some")
+            found = kept(_verified(docs, info, new, n, num, den), "found")
+            tested, missed = tested.union(new), new.join(found, ["a", "b"], "left_anti")
+            seen = missed if seen is None else seen.union(missed)
+            if not found.isEmpty():
+                links = kept(links.union(found), "links")
+                roots = components(links)
+            if new is left:
+                break
+            apart = _rooted(_rooted(left.join(new, ["a", "b"], "left_anti"), roots, "a", "_x"), roots, "b", "_y").where("_x != _y")
+            left, share = kept(apart.select("a", "b"), "across"), share * HUBS
+    return roots
+
+
 def join_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE, num: int = NUM, den: int = DEN
 ) -> DataFrame:
@@ -398,15 +484,11 @@ def join_components(
         before = (rows, pairs)
         found = kept(_verified(named, info, new, n, num, den), "found") if new is not None else None
         last = found is None or found.count() * WORTH <= new.count()  # also where nothing is left to compare
+        if found is not None:
+            links, tested = kept(links.union(found), "links"), tested.union(new)
+            roots = components(links)
         if last:
-            # such documents share many signatures: a part of these finds most pairs, so that all of them make few rows more
-            few = kept(_across(open_.where(F.pmod(F.xxhash64("signature"), F.lit(FEW)) == 0), info, num, den).distinct(), "few")
-            new = few.union(_across(open_, info, num, den, few)).distinct()
-            new = kept(new.join(_both_ways(tested), ["a", "b"], "left_anti"), "across")
-            found = kept(_verified(named, info, new, n, num, den), "found")
-        links, tested = kept(links.union(found), "links"), tested.union(new)
-        roots = components(links)
-        if last:
+            roots = _linked_across(named, info, open_, links, roots, tested, pairs > CROWDED * rows, n, num, den)
             break
     released(spark, large)
     told = (

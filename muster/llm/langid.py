@@ -196,16 +196,20 @@ def known_texts(df: DataFrame, model: Model, text: str = "text", label: str = "l
     language knows the n-gram best, so that a text in two known languages is no noise. The lower bound of a language lies below the lower quartile of its rightly told, labelled texts by ``REACH`` times the distance of the
     quartiles; for a text with fewer n-grams than their median that distance grows as the mean of few numbers varies. Equal
     texts count once. A language with under ``LEAST_TEXTS`` such texts has no bound. Rows with ``und`` go, as do even votes.
+
+    The texts are read twice, for the bounds and for the rows, so that no second copy of the table lies on disk.
     """
     own = [F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")]
-    told = kept(df.select(*own, F.col(label).alias("_label"), predicted(model, df.sparkSession, F.col(text)).alias("_told")), "told")
-    right = told.where("_label = _told.lang_pred AND _told.grams > 0").select("_told.lang_pred", "_told.likelihood", "_told.grams").distinct()
+    judged = predicted(model, df.sparkSession, F.col(text)).alias("_told")  # goes by the text alone: both passes tell the same
+    right = df.select(F.col(label).alias("_label"), judged).where("_label = _told.lang_pred AND _told.grams > 0")
+    right = right.select("_told.lang_pred", "_told.likelihood", "_told.grams").distinct()
     bounds = right.groupBy(F.col("lang_pred").alias("_of")).agg(
         F.percentile_approx("likelihood", [0.25, 0.75], 10_000).alias("_q"), F.percentile_approx("grams", 0.5).alias("_n"), F.count(F.lit(1)).alias("_texts")
     )
     wider = F.greatest(F.lit(1.0), F.sqrt(F.col("_n") / F.col("_told.grams")))
     least = F.col("_q")[0] - REACH * (F.col("_q")[1] - F.col("_q")[0]) * wider
     fits = (F.coalesce("_texts", F.lit(0)) < LEAST_TEXTS) | (F.col("_told.likelihood") >= least)
-    found = told.join(sent_out(kept(bounds, "bounds")), F.col("_told.lang_pred") == F.col("_of"), "left")
-    found = found.where((F.col("_told.lang_pred") != UNKNOWN) & (F.col("_told.score") > 0.5) & fits)
+    found = df.select(*own, judged).join(sent_out(kept(bounds, "bounds")), F.col("_told.lang_pred") == F.col("_of"), "left")
+    # one condition that needs both sides: a part of it alone would be pushed below the join and judge the texts once more
+    found = found.where(F.when((F.col("_told.lang_pred") != UNKNOWN) & (F.col("_told.score") > 0.5), fits).otherwise(F.lit(False)))
     return found.select(*own, "_told.lang_pred", "_told.score")

@@ -101,3 +101,18 @@ def test_tables_of_signatures_and_files_of_shuffles_do_not_stay(spark):
     before = files.getAllFiles().size()
     kept(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "k"), "counts")
     assert files.getAllFiles().size() <= before
+
+
+def test_large_sets_that_only_a_wide_sketch_tells_apart_make_no_pairs(spark):
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 50, 8000).astype(np.uint64))
+    first, near, far = base[:3000], np.concatenate((base[:2900], base[6000:6100])), np.concatenate((base[:2250], base[3000:3750]))
+    small, unlike = base[:300], np.concatenate((base[:150], base[4000:4150]))
+    sets = [np.sort(x) for x in (first, near, far, small, unlike, np.sort(base[:290]))]
+    wide = jaccard._sketches(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets]))))
+    narrow = np.bitwise_xor.reduce(wide.reshape(len(wide), -1, jaccard.SKETCH), axis=1).view(np.int64)
+    rows = [(i, len(x), *map(int, narrow[i]), [int(v) for v in wide[i].view(np.int64)]) for i, x in enumerate(sets)]
+    bits = ", ".join(f"{b} bigint" for b in jaccard._BITS)
+    info = spark.createDataFrame(rows, f"doc bigint, size int, {bits}, wide array<bigint>")
+    open_ = spark.createDataFrame([(9, i, i, 5) for i in range(len(sets))], "signature bigint, doc bigint, root bigint, base bigint")
+    assert sorted(map(tuple, jaccard._across(open_, info, 80, 100).collect())) == [(0, 1), (3, 5)]

@@ -3,6 +3,7 @@
 import collections
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 import plain
@@ -13,6 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from muster.llm import bpe_count, chat, flat, langid, mixing, packing, quality, warc
+from muster.session import work_folder
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "\n\t", "ab", "ÉÈ é", "日本 語", "a b　c", "😀 😀", "x" * 5000, "a  b", "<s> x </s>", "▁▁ a", "a\x00b", "\r\n\x0b"]
@@ -187,6 +189,16 @@ def test_noise_and_unlabelled_languages_are_not_known(spark):
     assert langid.known_texts(df.where("false"), langid.fit(df.where("false"))).collect() == []
 
 
+def test_known_texts_keep_no_copy_of_the_texts(spark):
+    folder = Path(work_folder(spark).removeprefix("file:"))
+    there = set(folder.rglob("*.parquet"))
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)), "en") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert len(langid.known_texts(df, langid.fit(df)).collect()) == 200
+    assert sum(p.stat().st_size for p in set(folder.rglob("*.parquet")) - there) < 100_000  # of 560,000 letters
+
+
 def test_quality_counts_equal_plain_counts(spark):
     rng = random.Random(7)
     texts = [None, "", "a b c", "a b c a b c", "x " * 300, "l1 a\nl1 a\n\n \nl2\nl1 a", "é# $% <a>", "\x0b\x0c"]
