@@ -1,5 +1,6 @@
 """Ranges that differ, text filters of a table of queries, files and whole reports against plain versions."""
 
+import collections
 import hashlib
 import random
 
@@ -109,3 +110,19 @@ def test_metadata_of_a_merged_archive(spark):
     assert (got.records, got.added, got.enriched, str(got.range_end), got.coverage, got.first_id, got.last_id) == (4, 1, 1, "2024-01-02", "partial", "b", "c")
     none = archive.archive_metadata(merged.limit(0)).head()
     assert (none.records, none.range_end, none.first_id) == (0, None, None)
+
+
+def test_many_small_files_are_scanned_by_few_tasks(spark, tmp_path):
+    for k in range(60):
+        (tmp_path / f"{k}.jpg").write_bytes(b"\xff\xd8\xff" + b"x" * k if k % 20 else b"")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "4194304b")
+        found = media.scan_media(spark, str(tmp_path), max_bytes=50)
+        assert found.rdd.getNumPartitions() <= 3 * 8
+        assert collections.Counter(r["reason"] for r in found.collect()) == {None: 45, "too large": 12, "empty": 3}
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
