@@ -102,7 +102,7 @@ def cell_texts(inside: DataFrame) -> DataFrame:
     Words without a cell (``cell_x0`` null) stand in a row of their number, ``lost``; ``w`` keeps the words.
     """
     word = F.struct("word", "size", "x0", F.round("y0", 1).alias("line"), F.coalesce("text", F.lit("")).alias("text"), "glyphs")
-    cell = ["page", "day_index", "first", "last", "cell_x0", "lost"]
+    cell = ["page", "day_index", "first", "last", "cell_x0", "lost", *[c for c in inside.columns if c == "poor"]]
     held = inside.groupBy(*cell).agg(F.sort_array(F.collect_list(word)).alias("w"), F.max("size").alias("top"))
     large = F.filter("w", lambda w: F.col("top") - w["size"] < SAME_SIZE)
     subject = F.filter(
@@ -122,22 +122,35 @@ def page_lessons(words: DataFrame, rulings: DataFrame, days: DataFrame, periods:
     ``kind`` is ``lesson``, or an issue: ``incompleteCell`` without class or subject, ``unallocatedCellText`` for a word
     inside the table that no cell took, ``rowGeometry`` for a day whose cells cannot be told.
     """
-    clean = words.withColumn("text", text.collapse_edges(text.nfkc(F.coalesce("text", F.lit("")))))
+    # numbered before Python sees them, which makes them be dealt again
+    first = F.row_number().over(Window.partitionBy("page").orderBy("word")) == 1
+    clean = words.withColumn("_first", first).withColumn("text", text.collapse_edges(text.nfkc(F.coalesce("text", F.lit("")))))
     frames = page_frames(rulings, days, periods)
+    period = periods.schema["period"].dataType
 
     # every step goes by page: a table that comes dealt by page is not dealt again
     placed = clean.withColumn("x", (F.col("x0") + F.col("x1")) / 2).withColumn("y", (F.col("y0") + F.col("y1")) / 2)
     high = F.filter("bands", lambda b: (F.col("y") > b["y0"]) & (F.col("y") < b["y1"]))
     takers = F.flatten(F.transform(high, lambda b: F.filter(b["cells"], lambda c: (F.col("x") > c["x0"]) & (F.col("x") < c["x1"]))))
     in_table = (F.col("y") > F.col("top")) & (F.col("y") < F.col("bottom")) & (F.col("x") > F.col("left"))
-    met = placed.join(frames.select("page", "bands", "top", "bottom", "left").hint("merge"), "page")
-    met = met.select(*words.columns, in_table.alias("_in_table"), F.explode_outer(takers).alias("_cell"))
+    # days whose cells cannot be told come as cells without an edge with the first word of their page, or alone where it has no word
+    none = F.lit(None).cast("double")
+    untold = F.transform("poor", lambda d: F.struct(
+        d.alias("day_index"), *[none.alias(c) for c in ("x0", "x1", "y0", "y1")], F.lit(None).cast(period).alias("first"), F.lit(None).cast(period).alias("last"),
+        F.lit(True).alias("poor"),
+    ))
+    taking = F.transform(takers, lambda c: F.struct(*[c[x].alias(x) for x in ("day_index", "x0", "x1", "y0", "y1", "first", "last")], F.lit(False).alias("poor")))
+    taking = F.when(F.size(taking) > 0, taking).when(F.col("_first").isNotNull(), F.array(F.lit(None)))
+    given = F.concat(F.coalesce(taking, F.array()), F.when(F.coalesce("_first", F.lit(True)), F.coalesce(untold, F.array())).otherwise(F.array()))
+    met = frames.hint("merge").join(placed, "page", "left")
+    met = met.select(*words.columns, in_table.alias("_in_table"), F.explode(given).alias("_cell"))
     # a word is known by its page and number: what took one of its rows took it
-    took = F.col("_cell").isNotNull()
-    met = met.withColumn("_taken", F.max(took).over(Window.partitionBy("page", "word"))).where(took | (F.col("_in_table") & ~F.col("_taken")))
+    poor = F.coalesce(F.col("_cell.poor"), F.lit(False))
+    took = F.col("_cell").isNotNull() & ~poor
+    met = met.withColumn("_taken", F.max(took).over(Window.partitionBy("page", "word"))).where(took | poor | (F.col("_in_table") & ~F.col("_taken")))
     told = cell_texts(met.select(
         *words.columns, *[F.col(f"_cell.{c}").alias(c) for c in ("day_index", "first", "last")], F.col("_cell.x0").alias("cell_x0"),
-        F.when(~took, F.col("word")).alias("lost"),
+        F.when(~took & ~poor, F.col("word")).alias("lost"), poor.alias("poor"),
     ))
     grade = F.coalesce(*[F.when(F.contains("class_text", F.lit(w)), F.lit(g)) for w, g in text.LABEL_GRADES.items()])
     section = text.fold_digits(F.col("digits")).try_cast("bigint")
@@ -159,6 +172,6 @@ def page_lessons(words: DataFrame, rulings: DataFrame, days: DataFrame, periods:
         grade=F.col("grade"), section=F.col("section"), class_code=F.when(good, code), subject=F.col("subject"), class_text=F.col("class_text"),
     )
     lost = F.transform("w", lambda w: row("unallocatedCellText", word=w["word"], subject=w["text"]))
-    found = told.select("page", F.explode(F.when(F.col("cell_x0").isNotNull(), F.array(lesson)).otherwise(lost)).alias("_row"))
-    poor = frames.select("page", F.explode("poor").alias("day_index"))
-    return found.select("page", "_row.*").unionByName(poor.select("page", row("rowGeometry", day_index=F.col("day_index")).alias("_row")).select("page", "_row.*"))
+    untold = F.transform("w", lambda w: row("rowGeometry", day_index=F.col("day_index")))  # as often as the day is told
+    rows = F.when(F.col("poor"), untold).when(F.col("cell_x0").isNotNull(), F.array(lesson)).otherwise(lost)
+    return told.select("page", F.explode(rows).alias("_row")).select("page", "_row.*")

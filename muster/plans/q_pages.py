@@ -112,7 +112,7 @@ def printed(spark, folder):
         word(7, F.lit(335.0), 10, m - 2, 4, 8.0, F.lit("stray"), when=stray),
         word(8, F.lit(65.0), 10, m - 2, 4, 8.0, F.lit("margin"), when=stray),
     ))
-    words = lines.select(F.col("l_orderkey").alias("page"), F.explode(made).alias("w")).select("page", "w.*")
+    words = dealt.select(F.col("l_orderkey").alias("page"), F.explode(made).alias("w")).select("page", "w.*")
     return words, rulings, days, periods
 
 

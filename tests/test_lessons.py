@@ -1,5 +1,7 @@
 """Lessons of printed pages, from few words and rulings."""
 
+from pyspark.sql import functions as F
+
 from muster.operators import lessons
 
 WORDS = "page bigint, word bigint, x0 double, x1 double, y0 double, y1 double, size double, text string, glyphs array<struct<x: double, c: string>>"
@@ -63,3 +65,16 @@ def test_tables_dealt_by_page_are_not_dealt_again(spark):
     assert "BroadcastExchange" not in plan
     assert sorted((r.page or 0, r.kind, r.day_index or 0, r.word or 0) for r in got.collect()) == [
         (0, "rowGeometry", 2, 0), (1, "incompleteCell", 0, 0), (1, "rowGeometry", 1, 0), (1, "unallocatedCellText", 0, 2)]
+
+
+def test_rulings_of_a_page_are_read_once(spark):
+    got = lessons.page_lessons(
+        spark.createDataFrame([label(1, 20.0, "السابع"), label(2, 35.0, "stray")], WORDS),
+        spark.createDataFrame(ruled(10, 30, 40, 50), "page bigint, x0 double, y0 double, x1 double, y1 double").withColumn("x0", F.col("x0") + F.lit(0.0)),
+        spark.createDataFrame([(1, 0, 20.0), (1, 1, 50.0), (1, 1, 51.0), (2, 3, 20.0)], "page bigint, day_index bigint, centre double"),
+        spark.createDataFrame([(1, 1, 15.0), (1, 2, 25.0)], "page bigint, period bigint, centre double"),
+    )
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("collect_set(struct(day_index") == 2  # one aggregate in two steps
+    assert sorted((r.page, r.kind, r.day_index or 0, r.word or 0) for r in got.collect()) == [
+        (1, "incompleteCell", 0, 0), (1, "rowGeometry", 1, 0), (1, "rowGeometry", 1, 0), (1, "unallocatedCellText", 0, 2), (2, "rowGeometry", 3, 0)]
